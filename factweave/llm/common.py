@@ -54,7 +54,7 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    wide = isinstance(column.type, pa.LargeStringType) or pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type)
     bufs = column.buffers()
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
