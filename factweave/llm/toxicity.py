@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import byte_slices, utf8_parts, word_hashes
 
 BUCKETS = 1 << 20
-POSITIVES, UNLABELLED = 3000, 9000
+POSITIVES, UNLABELLED = 4000, 9000
 MIN_DOCS, Z_LIMIT = 4, 5.0
 
 
@@ -74,7 +74,7 @@ def _thinned(rows: DataFrame, most: int) -> DataFrame:
     return rows if n <= most else rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0 < most / n)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, epochs: int = 60, rate: float = 0.05, seed: int = 11) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, epochs: int = 120, rate: float = 0.05, seed: int = 11) -> Model:
     """Train on the labels' confirmed rows; docs are the texts that may be learned from, labels the rows."""
     own = labels.select(labels[label_id].alias("__id"), labels[label_col].cast("int").alias("toxic")).where("__id is not null and toxic is not null").distinct()
     stats = own.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("int"))).head()
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 gp += prior * sp / len(p)
                 gu -= su / len(u)
             g = np.append(np.bincount(cp, gp[rp], len(kept)) + np.bincount(cu, gu[ru], len(kept)), gp.sum() + gu.sum())
-            g[:-1] += 1e-4 * w[:-1]
+            g[:-1] += 2e-5 * w[:-1]
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
