@@ -28,11 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: that with the smallest id."""
+    """Keep one document of each group of near duplicates: that with the smallest id. Rows of one id are one document;
+    rows without an id stay."""
     groups = simhash.near_duplicates(docs, radius=RADIUS, shingle=SHINGLE).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__c"))
     gone = groups.where("__id <> __c").select("__id")
-    kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    return kept if "doc_id" not in docs.columns else kept.dropDuplicates(["doc_id"])
+    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
 
 
 def exact_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
