@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import array
 import gc
+import os
 import struct
 import zlib
 
@@ -88,6 +89,7 @@ def read_shard(raw: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
 def library(path: str):
     """The tokenizers library's encoder with a bounded cache of encoded text parts, once per Python process."""
     if path not in _LIBRARY:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # an executor's cores already have a Python worker each
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -96,7 +98,7 @@ def library(path: str):
         kind = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
         special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
         pack = lambda text: array.array(kind, tok.encode(text, add_special_tokens=False).ids).tobytes()
-        _LIBRARY[path] = tok, kind, special, PartCache(lambda part: pack(" " + part), 600_000), pack
+        _LIBRARY[path] = tok, kind, special, PartCache(lambda part: pack(" " + part), 1_200_000), pack
     return _LIBRARY[path]
 
 
