@@ -91,6 +91,15 @@ def _tagged(tag: str, value):
     raise EdnError(f"unknown tag {tag}")
 
 
+def frozen(form):
+    """A form as a map's key: lists become tuples."""
+    return tuple(map(frozen, form)) if isinstance(form, list) else form
+
+
+def thawed(form):
+    return list(map(thawed, form)) if isinstance(form, (list, tuple)) else form
+
+
 def read(text: str):
     """The one form in a text."""
     forms = read_all(text)
@@ -129,7 +138,7 @@ def read_all(text: str) -> list:
             if opened == "{":
                 if len(forms) % 2:
                     raise EdnError("a map needs an even number of forms")
-                put({(tuple(k) if isinstance(k, list) else k): v for k, v in zip(forms[::2], forms[1::2])})
+                put({frozen(k): v for k, v in zip(forms[::2], forms[1::2])})
             else:
                 put(set(forms) if opened == "#{" else forms)
         elif m["skip"]:

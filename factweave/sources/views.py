@@ -19,6 +19,8 @@ from ..plans.query import Lookup, QueryError
 
 #: First entity id of transactions: that of transaction t is TX0 + t.
 TX0 = 1 << 42
+#: Attributes with smaller ids describe the schema and transactions.
+BOOT_LIMIT = 1000
 
 DATOMS = T.StructType([T.StructField(n, k) for n, k in (("e", T.LongType()), ("a", T.LongType()), ("vt", T.ByteType()), ("v_long", T.LongType()), ("v_double", T.DoubleType()), ("v_str", T.StringType()), ("v_bool", T.BooleanType()), ("v_bytes", T.BinaryType()), ("t", T.LongType()), ("op", T.BooleanType()))])
 VALUE = ("vt", "v_long", "v_double", "v_str", "v_bool", "v_bytes")
