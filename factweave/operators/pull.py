@@ -127,7 +127,7 @@ def _values(view: View, ids: DataFrame, attr: Attribute, s: Spec, specs: list, d
     keys = []
     for k, o in enumerate(s.order):
         path, *more = o if isinstance(o, list) and not str(o[0]).startswith(":db/") else [o]
-        words = [str(m).lstrip(":") for m in more]
+        words = [str(m.value if isinstance(m, Const) else m).lstrip(":") for m in more]
         hops = path if isinstance(path, list) else [path]
         key = _follow(view, rows.select(F.col("v").alias("e")).distinct(), hops).groupBy("e").agg(F.min("x").alias(f"__o{k}")).withColumnRenamed("e", "v")
         rows = rows.join(key, "v", "left")
@@ -182,7 +182,7 @@ def _satisfying(view: View, starts: DataFrame, conditions: list) -> DataFrame:
 
 
 def _one(view: View, starts: DataFrame, c) -> DataFrame:
-    head = str(c[0]).lstrip(":")
+    head = str(c[0].value if isinstance(c[0], Const) else c[0]).lstrip(":")
     if head == "and":
         return _satisfying(view, starts, c[1:])
     if head == "or":
