@@ -10,7 +10,7 @@ the next full one). The likeness of two fingerprints is the share of equal bins:
 unrelated ones, and falling with the share of segments that an edit touches.
 
 `near_pairs` deals fingerprints to buckets by groups of bins (bit-sampled banding), links each bucket's members
-to its smallest id, and keeps links whose fingerprints, then texts by true edit distance, are near enough.
+to its smallest id, and keeps links whose whole fingerprints are near enough.
 
 Defined cases: a null text is the empty text; the empty text has the all-zero fingerprint; equal texts have
 equal fingerprints wherever they are; texts of any length take segments of at most MAX_SEGMENT characters and
@@ -241,11 +241,15 @@ def add_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "finger
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, group: int = 4) -> DataFrame:
     """(id_a, id_b, likeness): documents near the smallest id of a bucket they share, by fingerprint likeness of
     `least` or more. Buckets are groups of `group` bins; each member meets the bucket's smallest id only, so a
-    bucket of any size makes one link a member; equal fingerprints are one member."""
-    fps = add_fingerprint(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id is not null")).groupBy("fingerprint").agg(F.min("id").alias("id"))
+    bucket of any size makes one link a member; equal fingerprints are one member, linked once each to its first."""
+    every = add_fingerprint(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id is not null")).select("id", "fingerprint")
+    fps = every.groupBy("fingerprint").agg(F.min("id").alias("id"))
+    first = fps.select("fingerprint", F.col("id").alias("id_a"))
+    equal = every.distinct().join(first, "fingerprint").where(F.col("id") > F.col("id_a")).select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("likeness"))
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("fingerprint", 1 + 4 * k, 4 * group).alias("v")) for k in range(0, BINS, group)])
     dealt = fps.select("id", "fingerprint", F.explode(keys).alias("key"))
     head = dealt.groupBy("key").agg(F.min(F.struct("id", "fingerprint")).alias("h"))
     met = dealt.join(head, "key").where(F.col("h.id") < F.col("id")).select(F.col("h.id").alias("id_a"), F.col("id").alias("id_b"), F.col("h.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")).distinct()
     same = sum((F.substring("fa", 1 + 4 * k, 4) == F.substring("fb", 1 + 4 * k, 4)).cast("int") for k in range(BINS))
-    return met.select("id_a", "id_b", (same / BINS).alias("likeness")).where(F.col("likeness") >= least)
+    near = met.select("id_a", "id_b", (same / BINS).alias("likeness")).where(F.col("likeness") >= least)
+    return near.unionByName(equal)
