@@ -37,6 +37,12 @@ def coder(path: str) -> tuple[ByteBPE, PartCache, PartCache]:
     return _CODERS[path]
 
 
+def release(path: str) -> None:
+    """Empty the caches at a task's end: Spark keeps idle Python workers, which should hold no memory."""
+    for cache in coder(path)[1:]:
+        cache.clear()
+
+
 def packed(bpe: ByteBPE, ids: list[int]) -> tuple[int, str, bytes]:
     return len(ids), "".join([f",{i}" for i in ids]), b"".join([bpe.token_bytes[i] for i in ids])
 
@@ -121,51 +127,96 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         gc.disable()  # the caches hold no cycles
-        for b in batches:
-            out = [digest_windows(path, w) for w in by_slices(path, each(b.column(1)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for b in batches:
+                out = [digest_windows(path, w) for w in by_slices(path, each(b.column(1)))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            release(path)
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def ids_of(path: str, text: str) -> list[int]:
-    """Token ids of one text, through the caches."""
-    out: list[int] = []
+def ids_of(path: str, texts: list[str]) -> list[list[int]]:
+    """Token ids of some texts; pieces that the cache lacks are encoded together."""
     bpe, pieces, _ = coder(path)
-    for span in bpe.spans(text):
-        if isinstance(span, int):
-            out.append(span)
-        else:
-            for p in PIECES.findall(span):
-                out += pieces[p] if len(p) <= 64 else bpe.stream(p.encode())
+    found = [[span if isinstance(span, int) else PIECES.findall(span) for span in bpe.spans(t or "")] for t in texts]
+    lack = [p for p in {p for spans in found for s in spans if not isinstance(s, int) for p in s}.difference(pieces) if len(p) <= 64]
+    if len(pieces) + len(lack) > pieces.limit:
+        pieces.clear()
+    pieces.update(zip(lack, bpe.encode_batch([p.encode() for p in lack])))
+    out = []
+    for spans in found:
+        ids: list[int] = []
+        for s in spans:
+            if isinstance(s, int):
+                ids.append(s)
+            else:
+                for p in s:
+                    ids += pieces[p] if len(p) <= 64 else bpe.stream(p.encode())
+        out.append(ids)
     return out
 
 
-def _appended(docs: DataFrame, new: str, kind: T.DataType, source: str, convert) -> DataFrame:
-    schema = T.StructType([*docs.schema.fields, T.StructField(new, kind)])
+def text_of(path: str, ids) -> str:
+    decoder = coder(path)[0].decoder()
+    return decoder.feed(np.asarray(ids if ids is not None else (), np.int64).tolist()) + decoder.finish()
+
+
+def _slices(column, limit: int = 1 << 20):
+    """Runs of texts of about limit characters."""
+    held: list[str] = []
+    size = 0
+    for t in each(column):
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    yield held
+
+
+def _encoded(path: str, column) -> pa.Array:
+    return pa.concat_arrays([pa.array(ids_of(path, part), pa.list_(pa.int32())) for part in _slices(column)])
+
+
+def _decoded(path: str, column) -> pa.Array:
+    return pa.array([text_of(path, x) for x in each(column)], pa.string())
+
+
+def _appended(docs: DataFrame, path: str, source: str, new: dict[str, T.DataType], convert) -> DataFrame:
+    docs = docs.drop(*new)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in new.items())])
     at = docs.columns.index(source)
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, convert(b.column(at))], [*b.schema.names, new])
+        gc.disable()
+        try:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, *convert(b.column(at))], [*b.schema.names, *new])
+        finally:
+            release(path)
 
     return docs.mapInArrow(run, schema)
 
 
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """docs with an array<int> column of token ids; a column of that name is replaced."""
-    docs = docs.drop(ids_col)
-    return _appended(docs, ids_col, T.ArrayType(T.IntegerType()), text_col, lambda c: pa.array([ids_of(path, t.as_py() or "") for t in c], pa.list_(pa.int32())))
+    return _appended(docs, path, text_col, {ids_col: T.ArrayType(T.IntegerType())}, lambda c: [_encoded(path, c)])
 
 
 def decode_column(docs: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """docs with the text of a column of token ids; null ids give the empty text; a column of that name is replaced."""
-    docs = docs.drop(text_col)
+    return _appended(docs, path, ids_col, {text_col: T.StringType()}, lambda c: [_decoded(path, c)])
+
+
+def transcode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:
+    """docs with token ids, and the text that these ids decode to, in one pass; columns of those names are replaced."""
 
-    def text(ids) -> str:
-        decoder = coder(path)[0].decoder()
-        return decoder.feed(np.asarray(ids or (), np.int64).tolist()) + decoder.finish()
+    def both(column):
+        ids = _encoded(path, column)
+        return [ids, _decoded(path, ids)]
 
-    return _appended(docs, text_col, T.StringType(), ids_col, lambda c: pa.array([text(x.as_py()) for x in c], pa.string()))
+    return _appended(docs, path, text_col, {ids_col: T.ArrayType(T.IntegerType()), decoded_col: T.StringType()}, both)
