@@ -49,9 +49,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the texts, and decode the ids again."""
-    path = tokenizer_path()
-    ids = bpe.encode_column(docs, path)
-    return bpe.decode_column(ids, path).withColumn("n_tokens", F.size("token_ids").cast("bigint"))
+    return bpe.transcode(docs, tokenizer_path()).withColumn("n_tokens", F.size("token_ids").cast("bigint"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
