@@ -19,7 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bytebpe import PIECES, ByteBPE, PartCache, words_of
-from .common import each
+from .common import each, give_back
+
+#: Pieces that a pass over ids keeps; the columns beside them need the memory.
+IDS_CACHE = 150_000
 
 _CODERS: dict[str, tuple] = {}
 
@@ -41,6 +44,7 @@ def release(path: str) -> None:
     """Empty the caches at a task's end: Spark keeps idle Python workers, which should hold no memory."""
     for cache in coder(path)[1:]:
         cache.clear()
+    give_back()
 
 
 def packed(bpe: ByteBPE, ids: list[int]) -> tuple[int, str, bytes]:
@@ -144,8 +148,9 @@ def ids_of(path: str, texts: list[str]) -> list[list[int]]:
     bpe, pieces, _ = coder(path)
     found = [[span if isinstance(span, int) else PIECES.findall(span) for span in bpe.spans(t or "")] for t in texts]
     lack = [p for p in {p for spans in found for s in spans if not isinstance(s, int) for p in s}.difference(pieces) if len(p) <= 64]
-    if len(pieces) + len(lack) > pieces.limit:
+    if len(pieces) + len(lack) > IDS_CACHE:
         pieces.clear()
+        lack = [p for p in {p for spans in found for s in spans if not isinstance(s, int) for p in s} if len(p) <= 64]
     pieces.update(zip(lack, bpe.encode_batch([p.encode() for p in lack])))
     out = []
     for spans in found:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, byte_slices, utf8_parts
+from .common import LOWER, byte_slices, give_back, utf8_parts
 
 BUCKETS, DIM = 1 << 15, 16
 SAMPLE = 4000
@@ -182,6 +182,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str
         for b in batches:
             lang, score, known, rejected = shared.value.predict(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(known), pa.array(rejected)], [*b.schema.names, *names])
+        give_back()
 
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))]))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 from .components import components
 
 SHINGLE = 4
@@ -61,6 +61,7 @@ def add_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+        give_back()
 
     return docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id bigint, fp bigint")
 

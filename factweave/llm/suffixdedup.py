@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, each, mix64, utf8_parts, written
+from .common import byte_slices, each, give_back, mix64, utf8_parts, written
 
 LENGTH, K, Q = 100, 24, 8
 HOT = 20_000
@@ -200,6 +200,8 @@ def _emit_spans(batches):
                     key = row[drop]
                     key, start, end = _runs(key, pos[drop], pos[drop] + n[drop] - 1 + LENGTH)
                     yield _batch(_SPAN, mix64(ids[key].astype(np.uint64) + start.astype(np.uint64)), np.zeros(len(key), np.int64), ids[key], ties[key], start, start - end)
+    _POWERS.clear()
+    give_back()
 
 
 def _compare_spans(batches):
@@ -281,6 +283,8 @@ def _resolve(batches):
             size += len(r[5])
     if held:
         yield from run(held)
+    held = []
+    give_back()
 
 
 def repeats(docs: DataFrame) -> DataFrame:
