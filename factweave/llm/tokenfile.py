@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import PartCache, words_of
+from .bytebpe import PIECES, PartCache, byte_symbols, words_of
 from .common import each, written
 
 _HEAD = struct.Struct("<8sIQQIQ")
@@ -32,8 +32,10 @@ _MAGIC = b"FWTOKENS"
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 SHARD_IDS = 1 << 20
 MAX_BUCKETS = 20_000
+#: Marks that may stand behind a word; each is neither letter, digit nor white space.
+MARKS = ".,;:!?*$&#%()-_\"'"
 
-_LIBRARY: dict[str, tuple] = {}
+_LIBRARY: dict[str, Library] = {}
 
 
 def pack_shard(doc_ids: list, parts: list[np.ndarray], start: int) -> bytes:
@@ -84,59 +86,69 @@ def read_shard(raw: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
     return [d if k else None for d, k in zip(names.tolist(), known.tolist())], lengths, used[rank] if total else np.zeros(0, np.uint32), start
 
 
-def library(path: str):
-    """The tokenizers library's encoder with a bounded cache of encoded text parts, once per Python process."""
-    if path not in _LIBRARY:
+class Library:
+    """The tokenizers library's encoder of one file, with bounded caches of encoded parts and pieces.
+
+    `parts` holds the ids, as bytes, of text parts that start with a space; the pieces of a part go to the library's model.
+    A tokenizer of another kind than plain byte-level BPE (`plain` is false) encodes each text whole."""
+
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # an executor's cores already have a Python worker each
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        tok = Tokenizer.from_file(path)
+        tok = self.tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        kind = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
-        special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
-        pack = lambda text: array.array(kind, tok.encode(text, add_special_tokens=False).ids).tobytes()
-        _LIBRARY[path] = tok, kind, special, PartCache(lambda part: pack(" " + part), 1_200_000), pack
+        cut = tok.pre_tokenizer
+        self.plain = tok.normalizer is None and isinstance(tok.model, models.BPE) and not tok.model.dropout and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        self.kind = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
+        self.special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
+        self.parts = PartCache(self._part, limit)
+        self.heads = PartCache(self.whole, limit // 8)  # texts' first parts, without a space before them
+        self._pieces = PartCache(self._piece, limit // 3)
+        self._symbols = dict(enumerate(byte_symbols()))
+        self._tokens = tok.model.tokenize
+
+    def whole(self, text: str) -> bytes:
+        return array.array(self.kind, self.tok.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():  # of these bytes, only the space has a stand-in
+            symbols = piece.replace(" ", self._symbols[32])
+        else:
+            symbols = piece.encode().decode("latin-1").translate(self._symbols)
+        return array.array(self.kind, [t.id for t in self._tokens(symbols)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Most parts are letters and then marks, which are two pieces; the pattern cuts the others."""
+        pieces, stem = self._pieces, part.rstrip(MARKS)
+        if not stem.isalpha():
+            return b"".join([pieces[p] for p in PIECES.findall(" " + part)])
+        return pieces[" " + stem] + pieces[part[len(stem) :]] if len(stem) < len(part) else pieces[" " + part]
+
+
+def library(path: str) -> Library:
+    """One encoder for each Python process."""
+    if path not in _LIBRARY:
+        _LIBRARY[path] = Library(path)
     return _LIBRARY[path]
 
 
-def encoded(path: str, texts, limit: int = 1 << 20):
+def encoded(path: str, texts):
     """Yield the ids of each text as bytes (unsigned shorts or ints). Parts of text between spaces, which the
     library encodes on their own, are encoded once each; a text with a special token goes to the library whole."""
-    tok, kind, special, cache, pack = library(path)
-    get = cache.get
-
-    def ready(held):
-        found = [None if isinstance(ws, str) else [list(map(get, w)) for w in ws] for ws in held]
-        lack: dict[str, bytes] = {}
-        for ws, fs in zip(held, found):
-            for k, (w, f) in enumerate(zip(ws, fs or ())):
-                if k == 0:
-                    f[0] = pack(w[0]) if w[0] else b""  # the text's first part has no space before it
-                if None in f:
-                    lack.update([(p, b"") for p, x in zip(w, f) if x is None])
-        if len(cache) + len(lack) > cache.limit:
-            cache.clear()
-        new = list(lack)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            lack.update(zip(part, [array.array(kind, e.ids).tobytes() for e in tok.encode_batch_fast([" " + p for p in part], add_special_tokens=False)]))
-        cache.update(lack)
-        for ws, fs in zip(held, found):
-            if fs is None:
-                yield pack(ws)
-                continue
-            yield b"".join([x for w, f in zip(ws, fs) for x in (f if None not in f else [lack[p] if x is None else x for p, x in zip(w, f)])])
-
-    held, size = [], 0
+    lib = library(path)
+    get = lib.parts.__getitem__
     for text in texts:
         text = text or ""
-        held.append(text if any([s in text for s in special]) else words_of(text))
-        size += len(text)
-        if size >= limit:
-            yield from ready(held)
-            held, size = [], 0
-    yield from ready(held)
+        if not lib.plain or any([s in text for s in lib.special]):
+            yield lib.whole(text)
+            continue
+        windows = words_of(text)
+        out = [lib.heads[windows[0].pop(0)]]
+        for w in windows:
+            out.append(b"".join(map(get, w)))
+        yield b"".join(out)
 
 
 def range_bounds(df: DataFrame, id_col: str, rows: int) -> list[int]:
@@ -162,14 +174,14 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
 
     def encode(batches):
         gc.disable()  # the caches hold no cycles
-        kind = library(path)[1]
+        kind = library(path).kind
         end = array.array(kind, [end_id]).tobytes()
         for b in batches:
             ids = [x + end for x in encoded(path, each(b.column(1)))]
             yield pa.RecordBatch.from_arrays([pa.array(bucket_of(b.column(0), bounds)), b.column(0), pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
 
     def shards(batches):
-        kind = np.uint16 if library(path)[1] == "H" else np.uint32
+        kind = np.uint16 if library(path).kind == "H" else np.uint32
         bucket, seq, before, names, parts, size = None, 0, 0, [], [], 0
 
         def flush():
