@@ -80,6 +80,16 @@ def _plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
+def test_parts_encode_as_whole_texts(monkeypatch):
+    lib = tokenfile.Library(PATH, limit=9)
+    monkeypatch.setitem(tokenfile._LIBRARY, PATH, lib)
+    texts = ["", " ", "a", "  a  b ", "it's dogs' 'tis. word'; x***\n y,\n\n  z\t q", "naïve, “né”. ²³ 12. año!? ١٢ \u00a0 x\u00a0y", "a\x1c b\x85 c \u200b d", "<|endoftext|> tail", "end ", "日本語。 🙂🙂 ok" * 9]
+    whole = [lib.whole(t) for t in texts]
+    assert list(tokenfile.encoded(PATH, texts)) == whole
+    lib.plain = False
+    assert list(tokenfile.encoded(PATH, [*texts, None])) == [*whole, b""]
+
+
 def test_simhash(spark, odd, empty):
     rng = random.Random(5)
     docs = list(ODD)
