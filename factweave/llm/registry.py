@@ -21,7 +21,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudolm.score(docs, pseudolm.fit(docs)).drop("text")
+    return pseudolm.score(docs, pseudolm.fit(docs), keep_text=False)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

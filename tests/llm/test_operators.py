@@ -12,6 +12,7 @@ tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 
 from factweave.llm import bpe, bytebpe, decontaminate, fingerprints, langid, pseudolm, simhash, suffixdedup, tokenfile, toxicity, warc  # noqa: E402
+from factweave.llm.common import word_hashes  # noqa: E402
 from factweave.llm.components import components  # noqa: E402
 
 PATH = public.path("byte_bpe_50k.json")
@@ -312,6 +313,35 @@ def test_pseudo_likelihood(spark, odd, empty):
     assert np.allclose(total, 1, atol=1e-3)  # the two levels make one distribution
 
 
+def test_pseudo_likelihood_of_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(pseudolm, "COMMON", 900)  # the other counts are joined
+    rng = random.Random(11)
+    often = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(rng.choices(often, [1 / (j + 20) for j in range(3000)], k=200))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = pseudolm.fit(df, rounds=0)
+    times = {}
+    for _, t in rows:
+        for w in t.split():
+            times[w] = times.get(w, 0) + 1
+    order = sorted(times, key=lambda w: times[w])
+    assert model.rare.count() > 100
+    # alone in a document every word has the same context: all counted words together have a probability below 1
+    alone = spark.createDataFrame([(k, w) for k, w in enumerate([*order, "neverseen"])], "doc_id bigint, text string")
+    got = [r["pll"] for r in sorted(pseudolm.score(alone, model).collect(), key=lambda r: r["doc_id"])]
+    assert 0.9 < sum(np.exp(got[:-1])) <= 1.001
+    ids = [int(model.tokens(word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0])[0]) for w in [*order, "neverseen"]]
+    shared = 0
+    for a, b in itertools.combinations(range(len(order)), 2):
+        if ids[a] == ids[b]:  # words of one shared id differ by their counts alone
+            shared += 1
+            assert abs(got[b] - got[a] - np.log(times[order[b]] / times[order[a]])) < 1e-3
+    assert shared > 500
+    assert got[-1] <= max(g for g, k in zip(got, ids) if k == ids[-1])
+    # and the ids grow with the different words
+    assert pseudolm.classes_for(3000) == 32 and pseudolm.classes_for(286_327) > 40 and pseudolm.classes_for(10**8) > 180
+
+
 def test_edit_fingerprints(spark, odd, empty):
     found = fingerprints.compare_edited(odd, rows_per_bucket=2).collect()
     rows = {(r["doc_id"], r["n_chars"]): r for r in found}
