@@ -9,8 +9,8 @@ shares its id is that of the id times the word's share of the id's count in the
 its own probability. A document's score is the sum of the conditional log-probabilities of all its tokens.
 
 Corpus statistics cover every word of every document: counts are summed per task and combined by Spark.
-Training is local SGD: in each round every partition trains from the shared parameters on every STRIDE-th
-position of every document of its own (another offset each round), and the parameters are averaged by the
+Training is local SGD on every position of every document, once each: a round of so many takes the positions of
+its residue, every partition trains on its own from the shared parameters, and the parameters are averaged by the
 number of positions; the average is a tree of small grouped sums, so parameters of all partitions never meet
 in one place. Scoring is one pass over whole texts; counts of the COMMON most frequent words travel with the
 model, and the words of lower counts are joined with the table of counts.
@@ -38,7 +38,7 @@ VOCAB, HASHED = 800, 223  # own to shared ids; with the end token 32 * 32 ids
 GROWTH = 4
 COMMON = 1 << 18
 WINDOW, DIM = 2, 16
-STRIDE, ROUNDS, RATE = 24, 2, 0.4
+ROUNDS, RATE, BATCH = 2, 0.4, 4096
 CHUNK = 4096
 
 
@@ -208,8 +208,15 @@ def _unflat(flat: np.ndarray, classes: int) -> list[np.ndarray]:
     return out
 
 
-def _round(docs: DataFrame, model: Model, text_col: str, offset: int) -> list[np.ndarray] | None:
-    """One round of local SGD: parameters averaged over partitions by their number of trained positions."""
+def turned(row: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The positions of a turn: every one belongs to one turn. Documents start at different turns."""
+    first = np.searchsorted(row, row)  # where the row's document starts
+    return np.flatnonzero((np.arange(len(row)) - first + row + turn) % rounds == 0)
+
+
+def _round(docs: DataFrame, model: Model, text_col: str, turn: int, rounds: int) -> list[np.ndarray] | None:
+    """One round of local SGD: parameters averaged over partitions by their number of trained positions. Over all
+    turns, each position is trained on once."""
     shared = docs.sparkSession.sparkContext.broadcast(model.sent(False))
 
     def train(batches):
@@ -220,8 +227,9 @@ def _round(docs: DataFrame, model: Model, text_col: str, offset: int) -> list[np
         def step():
             ids = np.concatenate([x[0] for x in held])
             around = np.concatenate([x[1] for x in held], axis=1)
-            for k in range(0, len(ids), 512):
-                own.train_step(ids[k : k + 512], around[:, k : k + 512], RATE)
+            edges = np.linspace(0, len(ids), max(1, round(len(ids) / BATCH)) + 1).astype(int).tolist()  # no small last one
+            for i, j in zip(edges, edges[1:]):
+                own.train_step(ids[i:j], around[:, i:j], RATE)
             return len(ids)
 
         for b in batches:
@@ -230,11 +238,10 @@ def _round(docs: DataFrame, model: Model, text_col: str, offset: int) -> list[np
                 h, row, _ = word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 ids = own.tokens(h)
                 around = own.contexts(ids, row)
-                first = np.searchsorted(row, row)  # where the row's document starts
-                at = np.flatnonzero((np.arange(len(ids)) - first + row + offset) % STRIDE == 0)
+                at = turned(row, turn, rounds)
                 salt = (salt + int(h[:1].sum() & np.uint64(0xFFFF))) % 256 if len(h) else salt
                 held.append((ids[at], around[:, at]))
-                if sum(len(x[0]) for x in held) >= 512:
+                if sum(len(x[0]) for x in held) >= BATCH:
                     done += step()
                     held = []
         if held:
@@ -285,7 +292,7 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
     rare = words.where((F.col("n") < least) & (F.col("n") > 1)) if any(1 < n < least for n, _ in met) else None
     model = Model(known[order], (order + 1).astype(np.int32), initial(classes), h[by_hash], counts[by_hash], totals, rare)
     for k in range(rounds):
-        params = _round(docs, model, text_col, k * (STRIDE // 2 + 1))
+        params = _round(docs, model, text_col, k, rounds)
         if params is None:
             break
         model = replace(model, params=params)

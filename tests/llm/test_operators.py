@@ -342,6 +342,39 @@ def test_pseudo_likelihood_of_rare_words(spark, monkeypatch):
     assert pseudolm.classes_for(3000) == 32 and pseudolm.classes_for(286_327) > 40 and pseudolm.classes_for(10**8) > 180
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_pseudo_likelihood_trains_on_every_position(spark, monkeypatch, tmp_path, rounds):
+    lengths = [1, 2, 3, 7, 30, 61]
+    plain = pseudolm.Model.train_step
+
+    def noted(self, ids, around, rate):
+        (tmp_path / f"{random.SystemRandom().random()}").write_text(str(len(ids)))
+        plain(self, ids, around, rate)
+
+    monkeypatch.setattr(pseudolm.Model, "train_step", noted)
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    seen = np.concatenate([pseudolm.turned(rows, k, rounds) for k in range(rounds)])
+    assert sorted(seen.tolist()) == list(range(len(rows)))
+    docs = [(b"w " * n).decode() for n in lengths]
+    column = pseudolm.pa.RecordBatch.from_arrays([pseudolm.pa.array(docs)], ["text"])
+
+    class Table:  # the tasks' function runs here, where it can be watched
+        def __getattr__(self, name):
+            return getattr(df, name)
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return spark.createDataFrame([tuple(r.values()) for b in run([column]) for r in b.to_pylist()], schema)
+
+    df = spark.createDataFrame([(t,) for t in docs], "text string")
+    model = pseudolm.fit(df, rounds=0)
+    for k in range(rounds):
+        pseudolm._round(Table(), model, "text", k, rounds)
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == len(rows)
+
+
 def test_edit_fingerprints(spark, odd, empty):
     found = fingerprints.compare_edited(odd, rows_per_bucket=2).collect()
     rows = {(r["doc_id"], r["n_chars"]): r for r in found}
