@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import bpe, decontaminate, langid, simhash, suffixdedup
+from factweave.llm import bpe, decontaminate, langid, suffixdedup, verified
 from factweave.llm.common import crc_mod, read_table, shared_dir
 from factweave.llm.registry import tokenizer_path
 
-#: Words of a shingle in the near-duplicate stage, and bits that near duplicates may differ in.
-SHINGLE, RADIUS = 5, 7
+#: Words of a shingle in the near-duplicate stage, bits that SimHash candidates may differ in, and the least Jaccard
+#: similarity of near duplicates.
+SHINGLE, RADIUS, LEAST = 5, 7, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: that with the smallest id. Rows of one id are one document;
-    rows without an id stay."""
-    groups = simhash.near_duplicates(docs, radius=RADIUS, shingle=SHINGLE).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__c"))
+    """Keep one document of each group of near duplicates, whose links are verified on their shingle sets: that with
+    the smallest id. Rows of one id are one document; rows without an id stay."""
+    groups = verified.near_duplicates(docs, LEAST, RADIUS, SHINGLE).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__c"))
     gone = groups.where("__id <> __c").select("__id")
     return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
 

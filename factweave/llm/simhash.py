@@ -34,23 +34,36 @@ BLOCK = 2048
 _ONE = np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit majority fingerprint of the word shingles of a text; 0 if it has no word."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles of a text, in order; a shorter text is one shingle, and none has no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start = end - size
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    set_bits, n = np.zeros(64, np.int64), len(words) - k + 1
+    n = len(words) - k + 1
+    out = np.empty(n, np.uint64)
     for i in range(0, n, 1 << 16):
         j = min(n, i + (1 << 16))
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(start[i:j].tolist(), end[i + k - 1 : j + k - 1].tolist())], "<u8")
-        set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
+        out[i:j] = [digest(joined[a:b], 42) for a, b in zip(start[i:j].tolist(), end[i + k - 1 : j + k - 1].tolist())]
+    return out
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    set_bits = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        set_bits += np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * set_bits > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit majority fingerprint of the word shingles of a text; 0 if it has no word."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def add_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
