@@ -9,8 +9,8 @@ bins, the smallest hash of its bands that falls in the bin (one-permutation mini
 the next full one). The likeness of two fingerprints is the share of equal bins: 1 for equal texts, near 0 for
 unrelated ones, and falling with the share of segments that an edit touches.
 
-`near_pairs` deals fingerprints to buckets by groups of bins (bit-sampled banding), links each bucket's members
-to its smallest id, and keeps links whose whole fingerprints are near enough.
+`near_pairs` deals fingerprints to buckets by groups of bins (bit-sampled banding), compares all members of a
+bucket by their whole fingerprints, and keeps spanning links of those near enough.
 
 Defined cases: a null text is the empty text; the empty text has the all-zero fingerprint; equal texts have
 equal fingerprints wherever they are; texts of any length take segments of at most MAX_SEGMENT characters and
@@ -37,6 +37,8 @@ BANDS, SAMPLED = 4, 16
 BINS = 64
 #: Characters walked over at once.
 SLICE = 1 << 20
+#: Members of a bucket compared at once; larger buckets are cut into pieces, and every two pieces meet.
+BLOCK = 1024
 
 _RNG = np.random.default_rng(20)
 #: The shared random bits: does the pointer move on, by step and hashed character; and the bits put out.
@@ -238,18 +240,65 @@ def add_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "finger
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
 
 
+def spanning(fps: np.ndarray, side: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """A spanning forest (i, j, likeness) of the pairs of at least that likeness. side: 0 and 1 for two pieces of a
+    bucket (only pairs across), else 2."""
+    parent, out = list(range(len(fps))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in range(len(fps) - 1):
+        if len(out) == len(fps) - 1:
+            break
+        like = likeness(fps[i + 1 :], fps[i])
+        for j in (i + 1 + np.flatnonzero((like >= least) & ((side[i + 1 :] == 2) | (side[i + 1 :] != side[i])))).tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((i, j, float(like[j - i - 1])))
+    return out
+
+
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, group: int = 4) -> DataFrame:
-    """(id_a, id_b, likeness): documents near the smallest id of a bucket they share, by fingerprint likeness of
-    `least` or more. Buckets are groups of `group` bins; each member meets the bucket's smallest id only, so a
-    bucket of any size makes one link a member; equal fingerprints are one member, linked once each to its first."""
+    """(id_a, id_b, likeness): spanning links of the documents that share a bucket and whose fingerprint likeness is
+    `least` or more: two such documents are joined by a chain of links. Buckets are groups of `group` bins; all
+    different fingerprints of a bucket are compared, in blocks; equal ones are one member, linked once each to its
+    first id."""
     every = add_fingerprint(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id is not null")).select("id", "fingerprint")
     fps = every.groupBy("fingerprint").agg(F.min("id").alias("id"))
     first = fps.select("fingerprint", F.col("id").alias("id_a"))
     equal = every.distinct().join(first, "fingerprint").where(F.col("id") > F.col("id_a")).select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("likeness"))
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("fingerprint", 1 + 4 * k, 4 * group).alias("v")) for k in range(0, BINS, group)])
-    dealt = fps.select("id", "fingerprint", F.explode(keys).alias("key"))
-    head = dealt.groupBy("key").agg(F.min(F.struct("id", "fingerprint")).alias("h"))
-    met = dealt.join(head, "key").where(F.col("h.id") < F.col("id")).select(F.col("h.id").alias("id_a"), F.col("id").alias("id_b"), F.col("h.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")).distinct()
-    same = sum((F.substring("fa", 1 + 4 * k, 4) == F.substring("fb", 1 + 4 * k, 4)).cast("int") for k in range(BINS))
-    near = met.select("id_a", "id_b", (same / BINS).alias("likeness")).where(F.col("likeness") >= least)
-    return near.unionByName(equal)
+    dealt = fps.select("id", "fingerprint", F.explode(keys).alias("key")).select("id", "fingerprint", F.xxhash64("key.k", "key.v").alias("key"))
+    pieces = dealt.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("p"))
+    own = F.pmod(F.xxhash64("fingerprint"), F.col("p")).cast("int")
+    # piece x meets itself (2), every later piece as the first (0) and every earlier one as the second (1)
+    meets = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda y: F.struct(F.least(own, y).alias("i"), F.greatest(own, y).alias("j"), F.when(own == y, 2).when(own < y, 0).otherwise(1).alias("s")))
+    units = dealt.join(pieces, "key").select("id", "fingerprint", "key", F.explode(meets).alias("u")).select("id", "fingerprint", F.xxhash64("key", "u.i", "u.j").alias("unit"), F.col("u.s").cast("int").alias("side"))
+    kind = every.schema["id"].dataType
+    schema = T.StructType([T.StructField("id_a", kind), T.StructField("id_b", kind), T.StructField("likeness", T.DoubleType())])
+
+    def compare(batches):
+        last, held = None, []
+
+        def run(id_type):
+            found = spanning(np.array([np.frombuffer(bytes.fromhex(r[1]), ">u2") for r in held]), np.array([r[2] for r in held]), least) if len(held) > 1 else []
+            ends = [(*sorted((held[i][0], held[j][0])), s) for i, j, s in found]
+            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends], id_type), pa.array([e[1] for e in ends], id_type), pa.array([e[2] for e in ends], pa.float64())], schema.names)
+
+        for b in batches:
+            for i, fp, unit, side in zip(*(each(c) for c in b.columns)):
+                if unit != last and held:
+                    yield run(b.column(0).type)
+                    held = []
+                last = unit
+                held.append((i, fp, side))
+        if held:
+            yield run(b.column(0).type)
+
+    near = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, schema).distinct()
+    return near.where("id_a <> id_b").unionByName(equal)

@@ -395,3 +395,38 @@ def test_edit_fingerprints(spark, odd, empty):
     assert near(0, 1) > 0.8 and near(0, 2) < 0.3 and near(0, 3) == 1 and not f[4].any()
     pairs = fingerprints.near_pairs(spark.createDataFrame([(1, a), (2, one), (3, b)], "doc_id bigint, text string")).collect()
     assert [(r["id_a"], r["id_b"]) for r in pairs] == [(1, 2)]
+
+
+def test_near_pairs_meet_all_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK", 8)  # buckets are cut into pieces
+    rng = random.Random(21)
+    template = words(rng, 700)
+    rows = []
+    for k in range(60):  # a hot source: one template, changed in many places; id 0 is far from most
+        t = template
+        for _ in range(rng.randint(1, 12)):
+            at = rng.randrange(len(t) - 60)
+            t = t[:at] + words(rng, 6) + t[at + 30 :]
+        rows.append((k, t))
+    rows += [(100, rows[3][1]), (101, ""), (102, None)]
+    fp = fingerprints.fingerprints([t or "" for _, t in rows])
+    near = {(a[0], b[0]) for (a, x), (b, y) in itertools.combinations(zip(rows, fp), 2) if fingerprints.likeness(x, y) >= 0.8}
+    shared = {(a, b) for a, b in near if any((fp[[r[0] for r in rows].index(a)][k : k + 4] == fp[[r[0] for r in rows].index(b)][k : k + 4]).all() for k in range(0, 64, 4))}
+    assert len(shared) > 50 and any(0 not in p for p in shared)
+    got = {(r["id_a"], r["id_b"]) for r in fingerprints.near_pairs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got <= near
+    up = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in got:
+        up[root(a)] = root(b)
+    assert all(root(a) == root(b) for a, b in shared)
+    # B and C share buckets headed by A, which is below `least` to both
+    monkeypatch.setattr(fingerprints, "BLOCK", 1024)
+    a, b, c = (np.arange(64) for _ in range(3))
+    b, c = np.where(a >= 50, 900, a), np.where((a >= 50) & (a < 54), 800, np.where(a >= 50, 900, a))
+    assert [p[:2] for p in fingerprints.spanning(np.stack([a, b, c]), np.full(3, 2), 0.8)] == [(1, 2)]
