@@ -1,9 +1,9 @@
 """SimHash near-duplicates (operator 5): fingerprints, links by bit-sliced comparison, components.
 
-Fingerprints of at most `radius` differing bits link. Of m blocks of the 64 bits, two such fingerprints agree
-on at least m - radius; so each distinct fingerprint is dealt to one bucket for every choice of m - radius
-blocks (m grows with the number of fingerprints, which keeps buckets small; every choice of m finds every
-link). Buckets are compared in blocks: the 64 bit planes of a block are stored vertically, one 64-bit word for
+Fingerprints of at most `radius` differing bits link. Of radius + 2 blocks of the 64 bits, two such fingerprints
+agree on two or more; so each distinct fingerprint is dealt to one bucket for every choice of two blocks (15 of them
+at radius 4, whatever the size of the input). Buckets are compared in blocks: the 64 bit planes of a block are
+stored vertically, one 64-bit word for
 64 members; the distances of many queries to 64 members at once are counted by carry-save adders over the
 planes, and a query is dropped once it is beyond the radius of all members. A bucket of more than `BLOCK`
 fingerprints is cut into pieces, and every pair of pieces is one unit of work. Units emit a spanning forest of
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import gc
 import itertools
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -167,21 +166,16 @@ def block_links(fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndar
     return fa[a[keep]], fb[b[keep]]
 
 
-def layout(n: int, radius: int) -> tuple[list[int], list[tuple[int, ...]]]:
-    """Widths of the blocks and the choices of blocks to agree on, for n distinct fingerprints: the fewest blocks
-    whose buckets hold 256 or fewer on average."""
-    for m in range(radius + 1, 2 * radius + 1):
-        key = 64 * (m - radius) // m
-        if n / 2**key <= 256:
-            break
-    edges = [round(64 * i / m) for i in range(m + 1)]
-    return edges, list(itertools.combinations(range(m), m - radius))
+def layout(radius: int) -> tuple[list[int], list[tuple[int, ...]]]:
+    """Edges of the radius + 2 blocks, and the choices of two blocks to agree on. The same for every input: two
+    fingerprints at most `radius` bits apart differ in that many blocks or fewer, so they agree on some choice."""
+    m = radius + 2
+    return [round(64 * i / m) for i in range(m + 1)], list(itertools.combinations(range(m), 2))
 
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Spanning links (a, b) between the distinct fingerprints of column fp that differ in radius bits or fewer."""
-    n = fps.count()
-    edges, choices = layout(n, radius)
+    edges, choices = layout(radius)
 
     def mask(choice) -> int:
         m = 0
@@ -265,7 +259,3 @@ def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
 def hex_fingerprint(col):
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
-
-def expected_table_rows(n: int, radius: int = 4) -> int:
-    """Rows that n distinct fingerprints are dealt into (for planning)."""
-    return n * math.comb(len(layout(n, radius)[0]) - 1, radius)
