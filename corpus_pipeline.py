@@ -18,7 +18,7 @@ from factweave.llm.registry import tokenizer_path
 
 #: Words of a shingle in the near-duplicate stage, bits that SimHash candidates may differ in, and the least Jaccard
 #: similarity of near duplicates.
-SHINGLE, RADIUS, LEAST = 5, 7, 0.8
+SHINGLE, RADIUS, LEAST = 5, 4, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
