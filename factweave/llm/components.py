@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 
+class Forest:
+    """The trees of n members that links have joined so far; a link inside a tree is left out."""
+
+    def __init__(self, n: int):
+        self.tree, self.trees = np.arange(n), n
+
+    def joined(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Join i with others; returns those that were in trees apart from i's and from each other's."""
+        others = others[self.tree[others] != self.tree[i]]
+        if not len(others):
+            return others
+        apart, first = np.unique(self.tree[others], return_index=True)
+        for t in apart.tolist():
+            self.tree[self.tree == t] = self.tree[i]
+        self.trees -= len(apart)
+        return others[first]
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours of every node to the smallest of them: the larger neighbours (large), or the smaller ones with the node itself.
 

@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, written
-from .components import components
+from .components import Forest, components
 
 SHINGLE = 4
 BLOCK = 2048
+#: Queries that are compared with all members of a unit at once.
+QUERIES = 256
 _ONE = np.uint64(1)
 
 
@@ -86,18 +88,18 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def within(queries: np.ndarray, members: np.ndarray, radius: int, later: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, member) at most radius bits apart; later: members and queries are one list, and only
-    members behind the query count. Distances saturate at 8, held as three bit-planes of counters."""
+def within(queries: np.ndarray, members: np.ndarray, radius: int, later: bool, first: int = 0, planes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (query, member) at most radius bits apart; later: the queries are members from place `first` on, and
+    only members behind the query count. Distances saturate at 8, held as three bit-planes of counters."""
     if radius > 7:
         raise ValueError("the counters hold distances up to 7")
-    planes = planes_of(members)
+    planes = planes_of(members) if planes is None else planes
     words = planes.shape[1]
     valid = np.packbits(np.arange(words * 64) < len(members), bitorder="little").view("<u8")
     rows = np.arange(len(queries))
     live = np.broadcast_to(valid, (len(rows), words)).copy()
     if later:
-        behind = np.arange(words * 64)[None, :] > rows[:, None]
+        behind = np.arange(words * 64)[None, :] > first + rows[:, None]
         live &= np.packbits(behind, axis=1, bitorder="little").view("<u8").reshape(len(rows), words)
     c0, c1, c2 = (np.zeros((len(rows), words), np.uint64) for _ in range(3))
     full = ~np.uint64(0)
@@ -120,7 +122,7 @@ def within(queries: np.ndarray, members: np.ndarray, radius: int, later: bool) -
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     hit = np.unpackbits(live.view(np.uint8).reshape(len(rows), words * 8), axis=1, bitorder="little")
     a, b = np.nonzero(hit)
-    return rows[a], b
+    return rows[a] + first * later, b
 
 
 def beyond(c0, c1, c2, radius: int):
@@ -135,35 +137,24 @@ def beyond(c0, c1, c2, radius: int):
     return out
 
 
-def forest(fps: np.ndarray, queries: np.ndarray, members: np.ndarray, parent: np.ndarray) -> list[int]:
-    """Indices of the pairs that join two trees of parent, which they update."""
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for k, (a, b) in enumerate(zip(queries.tolist(), members.tolist())):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            out.append(k)
-    return out
-
-
 def block_links(fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of one unit. side: 0 and 1 for two pieces of one bucket (only pairs across), else all 2."""
-    if (side == 2).all():
-        a, b, fa, fb = *within(fps, fps, radius, True), fps, fps
-        off = 0
-    else:
-        fa, fb = fps[side == 0], fps[side == 1]
-        a, b = within(fa, fb, radius, False)
-        fps, off = np.concatenate([fa, fb]), len(fa)
-    keep = forest(fps, a, b + off, list(range(len(fps))))
-    return fa[a[keep]], fb[b[keep]]
+    """Spanning links of one unit. side: 0 and 1 for two pieces of one bucket (only pairs across), else all 2. QUERIES
+    queries meet all members at once, so a unit of near copies doesn't hold all its pairs."""
+    whole = bool((side == 2).all())
+    queries, members = (fps, fps) if whole else (fps[side == 0], fps[side == 1])
+    off = 0 if whole else len(queries)
+    tree, planes = Forest(off + len(members)), planes_of(members)
+    left, right = [], []
+    for k in range(0, len(queries), QUERIES):
+        a, b = within(queries[k : k + QUERIES], members, radius, whole, k, planes)
+        a += 0 if whole else k
+        cuts = np.flatnonzero(np.diff(a, prepend=-1))
+        for i, own in zip(a[cuts].tolist(), np.split(b, cuts[1:])):
+            met = tree.joined(i, own + off) - off
+            left.append(np.full(len(met), i))
+            right.append(met)
+    none = [np.zeros(0, np.int64)]
+    return queries[np.concatenate(left or none)], members[np.concatenate(right or none)]
 
 
 def layout(radius: int) -> tuple[list[int], list[tuple[int, ...]]]:

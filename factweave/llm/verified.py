@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import each, give_back, written
-from .components import components
+from .components import Forest, components
 from .simhash import links, majority, shingle_hashes
 
 BANDS, ROWS = 14, 4
@@ -55,17 +55,9 @@ def similar(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tupl
     order = np.argsort(word, kind="stable")
     held, cuts = owner[order], np.searchsorted(word[order], np.arange(word.max(initial=-1) + 2))
     at = np.concatenate([[0], np.cumsum(size)])
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
+    tree, out = Forest(n), []
     for i in range(n):
-        if len(out) == n - 1:
+        if tree.trees == 1:
             break
         mine = word[at[i] : at[i + 1]]
         common = np.zeros(n, np.int64)
@@ -74,11 +66,7 @@ def similar(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tupl
         near = common >= least * (size[i] + size - common) - 1e-9
         near[: i + 1] = False
         near &= (side == 2) | (side != side[i])
-        for j in np.flatnonzero(near).tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((i, j))
+        out += [(i, j) for j in tree.joined(i, np.flatnonzero(near)).tolist()]
     return out
 
 
