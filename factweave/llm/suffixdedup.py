@@ -35,9 +35,10 @@ from .common import byte_slices, each, give_back, mix64, utf8_parts, written
 
 LENGTH, K, Q = 100, 24, 8
 HOT = 20_000
-SLICE = 1 << 20
-#: Bytes of strings in one suffix array.
-BATCH = 3 << 20
+#: Bytes of text whose spans are taken at once, and of strings in one suffix array: a worker holds some 15 words of 8
+#: bytes for each.
+SLICE = 1 << 18
+BATCH = 1 << 20
 _BASE = 0x2545F4914F6CDD1D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -60,7 +61,7 @@ def spans_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     none = tuple(np.zeros(0, k) for k in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     if n < LENGTH:
         return none
-    up, down = _powers(max(1 << 21, 1 << (n + 1).bit_length()))
+    up, down = _powers(max(2 * SLICE, 1 << (n + 1).bit_length()))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
     gram = (total[K:] - total[:-K]) * down[: n - K + 1]
@@ -297,6 +298,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     asked = rims.join(hot, F.col("akey") == F.col("h"), "left").groupBy("doc", "tie").agg(F.collect_list(F.struct("akey", "pos", "n", F.col("h").isNotNull().alias("hot"))).alias("asked"))
 
     def contexts(batches):
+        gc.disable()
         for b in batches:
             out: list[tuple] = []
             size = 0
@@ -311,11 +313,12 @@ def repeats(docs: DataFrame) -> DataFrame:
                     else:
                         out.append((q["akey"], doc, tie, q["pos"], q["n"], own))
                     size += len(own)
-                if size > 4 << 20:
+                if size > BATCH:
                     yield pack(out)
                     out, size = [], 0
             if out:
                 yield pack(out)
+        give_back()
 
     def pack(rows):
         cols = list(zip(*rows))
@@ -367,6 +370,7 @@ def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 rows.append((len(raw), gone, spans, hashlib.sha256(left).hexdigest()))
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        give_back()
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
@@ -377,11 +381,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with repeats cut out of the texts, all columns in place. Characters of which a cut leaves only a part go
     too; untouched rows, null texts included, stay as they are."""
 
-    @F.pandas_udf(T.StringType())
-    def cut(texts, cuts):
-        import pandas as pd
-
-        return pd.Series([t if c is None or not len(c) else kept_bytes(t.encode("utf-8", "surrogatepass"), [(x["pos"], x["n"]) for x in c])[0].decode("utf-8", "ignore") for t, c in zip(texts, cuts)], dtype=object)
-
-    done = _with_cuts(docs, id_col, text_col).withColumn("left", cut("text", "cuts"))
+    def cut(batches):
+        for b in batches:
+            left = [t if not c else kept_bytes(t.encode("utf-8", "surrogatepass"), [(x["pos"], x["n"]) for x in c])[0].decode("utf-8", "ignore") for t, c in zip(each(b.column(1)), each(b.column(2)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, pa.string())], ["row", "left"])
+        give_back()
+
+    done = _with_cuts(docs, id_col, text_col)
+    others = F.struct(F.lit(0).alias("__none"), *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text_col])
+    done = done.select(others.alias("row"), "text", "cuts")
+    done = done.mapInArrow(cut, T.StructType([done.schema["row"], T.StructField("left", T.StringType())]))
     return done.select(*[F.col("left").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
