@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from factweave.builder import NotOne, Param, ParamError, entities
@@ -6,89 +8,133 @@ from factweave.plans.compiler import run_query
 from factweave.policy import Policy, Principal, Rule
 from factweave.streaming.live import Live, changes
 from factweave.transactions import Connection, Store, TxError
-from tests.test_datalog import PEOPLE, SCHEMA
+from tests import harbour
+from tests.harbour import CLOCK, PORTS, SCHEMA, attribute
 
 
 @pytest.fixture(scope="module")
-def people(spark):
-    conn = Connection(spark, now=lambda: 1_700_000_000_000)
+def coast(spark):
+    conn = Connection(spark, now=lambda: CLOCK)
     conn.transact(SCHEMA)
-    ids = conn.transact(PEOPLE).tempids
-    return Connection(spark, now=lambda: 1_700_000_000_000, log=conn.log().cache()), ids
+    ids = conn.transact(harbour.entities()).tempids
+    return Connection(spark, now=lambda: CLOCK, log=conn.log().cache()), ids
 
 
-def test_pull(people):
-    conn, ids = people
+def test_pull(coast):
+    conn, ids = coast
     db = conn.db()
-    assert pull(db, ids["ben"], "[:person/name {:person/boss [:person/name]} :person/nope]") == {"person/name": "Ben", "person/boss": {"person/name": "Ann"}}
-    assert pull(db, [":person/email", "ann@x"], "[(default :person/score 0.0) {:person/_boss [:person/name]}]") == {"person/score": 1.5, "person/_boss": [{"person/name": "Ben"}, {"person/name": "Cleo"}]}
-    assert pull(db, ids["dan"], ["db/id", [":person/score", ":as", "s", ":default", -1.0]]) == {"db/id": ids["dan"], "s": -1.0}
-    got = pull(db, ids["cleo"], '[:person/name {[:person/friends :where [["lt" :person/age 28]]] [:person/name]}]')
-    assert got == {"person/name": "Cleo", "person/friends": [{"person/name": "Ben"}]}
-    ordered = pull(db, ids["cleo"], "[{[:person/friends :order [[:person/age :asc]] :limit 1] [:person/name]}]")
-    assert ordered == {"person/friends": [{"person/name": "Ben"}]}
-    assert pull(db, ids["dan"], "[:person/name {:person/boss 2}]") == {"person/name": "Dan", "person/boss": {"person/name": "Cleo", "person/boss": {"person/name": "Ann"}}}
-    assert pull(db, ids["ann"], "[*]")["person/tags"] == ["admin", "dev"]
-    assert pull_many(db, [1 << 30, ids["ann"]], "[:person/name]") == [None, {"person/name": "Ann"}]
-    rows = run_query(db, "[:find ?n (pull ?e [:person/age]) :where [?e :person/name ?n] :order [[?n :desc]] :limit 2]").rows()
-    assert rows == [["Dan", {"person/age": 25}], ["Cleo", {"person/age": 35}]]
-
-
-def test_policy(people):
-    conn, ids = people
+    assert pull(db, ids["TOR"], "[:port/title {:port/hub [:port/title :port/berths]} :port/unknown]") == {"port/title": "Torvik", "port/hub": {"port/title": "Velmark", "port/berths": 12}}
+    assert pull(db, [":port/code", "VEL"], "[(default :port/berths 0) {:port/_hub [:port/code]}]") == {"port/berths": 12, "port/_hub": [{"port/code": "TOR"}, {"port/code": "QUN"}]}
+    assert pull(db, ids["QUN"], ["db/id", [":port/draft", ":as", "metres", ":default", -2.0]]) == {"db/id": ids["QUN"], "metres": -2.0}
+    assert pull(db, ids["LOM"], "[:port/code (default :port/none 5)]") == {"port/code": "LOM", "port/none": 5}
+    shallow = pull(db, ids["IST"], '[{[:port/lines :where [["lt" :port/berths 9]]] [:port/code]}]')
+    assert shallow == {"port/lines": [{"port/code": "QUN"}, {"port/code": "LOM"}]}
+    by_berths = pull(db, ids["IST"], "[{[:port/lines :order [[:port/berths :desc]] :limit 2] [:port/code]}]")
+    assert by_berths == {"port/lines": [{"port/code": "VEL"}, {"port/code": "QUN"}]}
+    assert pull(db, ids["VEL"], "[(limit :port/goods 2)]") == {"port/goods": ["grain", "ore"]}
+    # a target without anything of the pattern is its id
+    assert pull(db, ids["TOR"], "[{:port/hub [:crane/tons]}]") == {"port/hub": {"db/id": ids["VEL"]}}
+    assert pull_many(db, [1 << 30, ids["HAF"]], "[:port/title]") == [None, {"port/title": "Hafnest"}]
+    rows = run_query(db, "[:find ?c (pull ?p [:port/berths]) :where [?p :port/code ?c] :order [[?c :desc]] :limit 2]").rows()
+    assert rows == [["VEL", {"port/berths": 12}], ["TOR", {"port/berths": 4}]]
+
+
+def test_pull_wildcard(coast):
+    conn, ids = coast
+    got = pull(conn.db(), ids["TOR"], "[*]")
+    assert got == {"db/id": ids["TOR"], "port/code": "TOR", "port/title": "Torvik", "port/berths": 4, "port/draft": 9.5, "port/ice": True, "port/coast": "north", "port/goods": ["fish"], "port/hub": {"db/id": ids["VEL"]}, "port/lines": [{"db/id": ids["VEL"]}]}
+    nested = pull(conn.db(), ids["QUN"], "[{:port/lines [*]}]")
+    assert [x["port/title"] for x in nested["port/lines"]] == ["Istra Quay"] and nested["port/lines"][0]["db/id"] == ids["IST"]
+
+
+def expected(code, path, depth):
+    """The recursive tree of lines in plain Python."""
+    out = {"port/code": code}
+    kids = [{"db/id": c} if c in path or depth == 0 else expected(c, path | {c}, None if depth is None else depth - 1) for c in PORTS[code].get("lines", ())]
+    return out | ({"port/lines": kids} if kids else {})
+
+
+@pytest.mark.parametrize("depth", [1, 2, None])
+def test_pull_recursion_ends_on_cycles(coast, depth):
+    conn, ids = coast
+
+    def named(t):
+        out = {k: v for k, v in t.items() if k != "port/lines"}
+        if "db/id" in out:
+            out["db/id"] = next(c for c, i in ids.items() if i == out["db/id"])
+        return out | ({"port/lines": sorted((named(x) for x in t["port/lines"]), key=repr)} if "port/lines" in t else {})
+
+    began = time.time()
+    got = pull_many(conn.db(), [ids["VEL"], ids["IST"], ids["HAF"]], [":port/code", {":port/lines": "..." if depth is None else depth}])
+    assert time.time() - began < 60
+    want = [expected(c, {c}, depth) for c in ("VEL", "IST", "HAF")]
+    assert [named(t) for t in got] == [named_want(t) for t in want]
+    up = pull(conn.db(), ids["LOM"], "[:port/code {:port/hub ...}]")
+    assert up == {"port/code": "LOM", "port/hub": {"port/code": "IST", "port/hub": {"port/code": "QUN", "port/hub": {"port/code": "VEL"}}}}
+
+
+def named_want(t):
+    return {k: v for k, v in t.items() if k != "port/lines"} | ({"port/lines": sorted((named_want(x) for x in t["port/lines"]), key=repr)} if "port/lines" in t else {})
+
+
+def test_policy(coast):
+    conn, ids = coast
     db = conn.db()
-    policy = Policy([Rule("allow", "read", "person", ("or", ("class", "staff"), ("eq", "person/boss", ("principal", "id")))), Rule("deny", "read", "person/email"), Rule("allow", "add", "person/age", ("eq", "person/boss", ("principal", "id")))])
-    names = lambda view: sorted(run_query(view, "[:find [?n ...] :where [?e :person/name ?n]]").value())
-    ann = Principal(id=ids["ann"])
-    assert names(policy.readable(db, ann)) == ["Ben", "Cleo"]
-    assert names(policy.readable(db, Principal())) == []
-    staff = policy.readable(db, Principal(classes=frozenset({"staff"})))
-    assert len(names(staff)) == 4 and run_query(staff, "[:find ?m :where [_ :person/email ?m]]").value() == []
-    assert len(names(policy.readable(db, Principal(admin=True)))) == 4
-    age = db.schema.attr("person/age").id
-    policy.check(db, ann, [(ids["ben"], age, 1, True)])
+    policy = Policy([Rule("allow", "read", "port", ("or", ("class", "pilot"), ("eq", "port/hub", ("principal", "id")))), Rule("deny", "read", "port/draft"), Rule("allow", "add", "port/berths", ("eq", "port/hub", ("principal", "id")))])
+    codes = lambda view: sorted(run_query(view, "[:find [?c ...] :where [?p :port/code ?c]]").value())
+    master = Principal(id=ids["VEL"])
+    assert codes(policy.readable(db, master)) == ["QUN", "TOR"]
+    assert codes(policy.readable(db, Principal())) == []
+    pilot = policy.readable(db, Principal(classes=frozenset({"pilot"})))
+    assert codes(pilot) == sorted(PORTS) and run_query(pilot, "[:find ?d :where [_ :port/draft ?d]]").value() == []
+    assert run_query(pilot, "[:find ?t :where [_ :crane/tons ?t]]").value() == []
+    assert codes(policy.readable(db, Principal(admin=True))) == sorted(PORTS)
+    berths = db.schema.attr("port/berths").id
+    policy.check(db, master, [(ids["TOR"], berths, 1, True)])
     with pytest.raises(TxError):
-        policy.check(db, ann, [(ids["dan"], age, 1, True)])
+        policy.check(db, master, [(ids["IST"], berths, 1, True)])
 
 
-def test_builder(people):
-    conn, ids = people
+def test_builder(coast):
+    conn, ids = coast
     db = conn.db()
-    assert entities("person").where("age", ">", 28).select("name").order_by("name").run(db) == [{"name": "Ann"}, {"name": "Cleo"}]
-    assert entities("person").where("name", "=", "Dan").follow("boss").select("name").one(db) == {"name": "Cleo"}
-    assert entities("person").where("name", "=", "Ann").backlink("boss").select(who="name").order_by("who").run(db) == [{"who": "Ben"}, {"who": "Cleo"}]
-    assert entities("person").has("name").none("boss").select("name").order_by("name").run(db) == [{"name": "Ben"}, {"name": "Dan"}]
-    assert entities("person").has("name").some("boss", lambda p: p.where("active", "=", True)).select("name").order_by("name").run(db) == [{"name": "Ann"}, {"name": "Cleo"}]
-    assert entities("person").has("age").aggregate("total", "sum", "age").run(db) == [{"total": 115}]
-    assert entities("person").where("age", "in", [25, 30]).select("name").order_by("name").run(db) == [{"name": "Ann"}, {"name": "Ben"}, {"name": "Dan"}]
-    by = entities("person").where("age", ">", Param("min")).select("name")
-    assert by.order_by("name").run(db, min=30) == [{"name": "Cleo"}]
+    assert entities("port").where("berths", ">", 6).select("code").order_by("code").run(db) == [{"code": c} for c in ("HAF", "QUN", "VEL")]
+    assert entities("port").where("code", "=", "IST").follow("hub").select("title").one(db) == {"title": "Quennby"}
+    assert entities("port").where("code", "=", "VEL").backlink("hub").select(leaf="code").order_by("leaf").run(db) == [{"leaf": "QUN"}, {"leaf": "TOR"}]
+    assert entities("port").has("title").none("hub").select("code").order_by("code").run(db) == [{"code": c} for c in ("HAF", "LOM", "TOR")]
+    assert entities("port").has("title").some("hub", lambda p: p.where("ice", "=", True)).select("code").run(db) == [{"code": "VEL"}]
+    assert entities("port").some("hub").every("hub", lambda p: p.has("goods")).select("code").run(db) == [{"code": "VEL"}]
+    assert entities("port").has("berths").aggregate("all", "sum", "berths").run(db) == [{"all": 35}]
+    assert entities("port").where("berths", "in", [1, 12]).select("code").order_by("code").run(db) == [{"code": "LOM"}, {"code": "VEL"}]
+    assert entities("port").either(lambda p: p.where("coast", "=", "east"), lambda p: p.where("berths", "<", 2)).select("code").order_by("code").run(db) == [{"code": "HAF"}, {"code": "LOM"}]
+    by = entities("port").where("berths", ">=", Param("least")).select("code")
+    assert by.order_by("code").run(db, least=12) == [{"code": "VEL"}]
     with pytest.raises(ParamError):
         by.run(db)
     with pytest.raises(NotOne):
-        entities("person").has("name").select("name").one_or_fail(db)
-    first, cursor = entities("person").has("name").select("name").order_by("name").page(db, 3)
-    rest, end = entities("person").has("name").select("name").order_by("name").page(db, 3, cursor)
-    assert [r["name"] for r in first + rest] == ["Ann", "Ben", "Cleo", "Dan"] and end is None
+        entities("port").has("title").select("title").one_or_fail(db)
+    first, cursor = entities("port").has("title").select("title").order_by("title").page(db, 4)
+    rest, end = entities("port").has("title").select("title").order_by("title").page(db, 4, cursor)
+    assert [r["title"] for r in first + rest] == sorted(p["title"] for p in PORTS.values()) and end is None
 
 
 def test_store_and_live(spark, tmp_path):
     path = str(tmp_path / "db")
     conn = Connection(spark, now=lambda: 3, path=path)
-    conn.transact(SCHEMA[:3])
-    ids = conn.transact([{":db/id": "a", ":person/name": "A", ":person/age": 1}]).tempids
+    conn.transact([attribute("buoy/name", "string"), attribute("buoy/depth", "long")])
+    ids = conn.transact([{":db/id": "b", ":buoy/name": "B7", ":buoy/depth": 40}]).tempids
     store = Store(spark, path)
     assert store.compact() == conn.t and store.current() == conn.t
     seen = []
-    live = Live(store, "[:find ?n ?a :where [?e :person/name ?n] [?e :person/age ?a]]", emit=lambda v, t: seen.append(v))
+    live = Live(store, "[:find ?n ?d :where [?b :buoy/name ?n] [?b :buoy/depth ?d]]", emit=lambda v, t: seen.append(v))
     assert live.run() and not live.run()
     again = store.connect()
     again._now = lambda: 4
-    again.transact([[":db/add", ids["a"], ":person/age", 2]])
+    again.transact([[":db/add", ids["b"], ":buoy/depth", 55]])
     live.start(spark, str(tmp_path / "ck"), once=True).awaitTermination(60)
-    assert seen == [[["A", 1]], [["A", 2]]]
+    assert seen == [[["B7", 40]], [["B7", 55]]]
     assert [c["t"] for c in changes(store, conn.t)] == [again.t]
-    pinned = Live(store, "[:find ?a . :where [_ :person/age ?a]]", emit=lambda v, t: seen.append((v, t)), seen=lambda db: db.as_of(conn.t))
-    assert pinned.start(spark, str(tmp_path / "ck2")) is None and seen[-1] == (1, conn.t)
+    pinned = Live(store, "[:find ?d . :where [_ :buoy/depth ?d]]", emit=lambda v, t: seen.append((v, t)), seen=lambda db: db.as_of(conn.t))
+    assert pinned.start(spark, str(tmp_path / "ck2")) is None and seen[-1] == (40, conn.t)
     store.compact()
-    assert store.retain(1) == [again.t] and store.connect().db().entity(ids["a"])["person/age"] == 2
+    assert store.retain(1) == [again.t] and store.connect().db().entity(ids["b"])["buoy/depth"] == 55
