@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import Val, number, sort_key
+from .values import SPARK_TYPES, UNION, Val, number, sort_key
+
+#: The column of random numbers, one a tuple, that draws need.
+DRAW = "__draw"
 
 
 def _whole(args) -> int:
@@ -28,8 +31,10 @@ def _sum(args, v: Val):
 
 
 def _rand(args, v: Val):
-    seen = F.collect_set(v.col)
-    return F.transform(F.sequence(F.lit(1), F.lit(max(1, _whole(args)))), lambda i: F.get(seen, F.floor(F.rand() * F.size(seen)).cast("int"))), "list"
+    """Draws with repetition among all tuples: each draw is the tuple of the largest random number of its own (DRAW
+    is a column that the compiler adds), so a group keeps one value a draw and never its rows."""
+    draws = [F.max_by(F.struct(v.col.alias("x")), F.xxhash64(F.col(DRAW), F.lit(k)))["x"] for k in range(_whole(args))]
+    return F.array(*draws) if draws else F.array().cast(f"array<{UNION if v.kind == 'any' else SPARK_TYPES.get(v.kind, 'string')}>"), "list"
 
 
 #: name -> function of (arguments, value): (column, kind)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import Val, before, const, equal, js_number, number, text
+from .values import Val, before, cast_to, common, const, equal, js_number, number, text
 
 
 def _chain(test: Callable[[Val, Val], Column]):
@@ -59,7 +59,7 @@ PREDICATES: dict[str, Callable[..., Column]] = {
     "ends-with?": lambda s, p: text(s).endswith(text(p)),
     "includes?": lambda s, p: text(s).contains(text(p)),
     "blank?": lambda s: s.col.isNull() | text(s).rlike(r"^\s*$"),
-    "re-matches?": lambda p, s: text(s).rlike(f"^(?:{_pattern(p)})$"),
+    "re-matches?": lambda p, s: text(s).rlike(rf"^(?:{_pattern(p)})\z"),
     "re-find?": lambda p, s: text(s).rlike(_pattern(p)),
 }
 _ALIASES = {"==": "=", "not=": "!=", "re-matches": "re-matches?", "re-find": "re-find?"}
@@ -126,9 +126,12 @@ def _substring(s: Val, a: Val, b: Val | None = None) -> Val:
 
 
 def _size(v: Val) -> Val:
+    """Items of a list; code units of a text (a character beyond the basic plane counts twice)."""
     if v.kind in ("string", "uuid"):
-        return Val(F.length(v.col).cast("bigint"), "long")
-    return Val(F.size(v.col).cast("bigint") if v.kind in ("list", "tuple") else F.lit(0).cast("bigint"), "long")
+        return Val((F.octet_length(F.encode(v.col, "UTF-16BE")) / 2).cast("bigint"), "long")
+    if v.kind.startswith("tuple"):
+        return Val(F.lit(len(v.inner)).cast("bigint"), "long")
+    return Val((F.size(v.col) if v.several else F.lit(0)).cast("bigint"), "long")
 
 
 def _groups(pattern: str) -> int:
@@ -140,16 +143,33 @@ def _groups(pattern: str) -> int:
 def _re_result(whole: bool):
     def run(p: Val, s: Val) -> Val:
         pattern = _pattern(p)
-        shown = f"^(?:{pattern})$" if whole else pattern
+        shown = rf"^(?:{pattern})\z" if whole else pattern
         n = _groups(pattern)
         found = text(s).rlike(shown)
         if not n:
             return Val(F.when(found, F.regexp_extract(text(s), shown, 0)), "string")
-        return Val(F.when(found, F.array(*[F.regexp_extract(text(s), shown, k) for k in range(n + 1)])), "list")
+        return Val(F.when(found, F.array(*[F.regexp_extract(text(s), shown, k) for k in range(n + 1)])), "list:string")
 
     return run
 
 
+def _vector(*vs: Val) -> Val:
+    kind = common(v.kind for v in vs)
+    return Val(F.array(*[cast_to(v, kind) for v in vs]), f"list:{kind}")
+
+
+def _split(s: Val, p: Val) -> Val:
+    """The parts between matches, and between two parts what the pattern's groups caught there."""
+    pattern, whole = _pattern(p), text(s)
+    if not pattern:
+        return Val(F.regexp_extract_all(whole, F.lit("(?s)."), F.lit(0)), "list:string")
+    parts, n = F.split(whole, pattern, -1), _groups(pattern)
+    if not n:
+        return Val(parts, "list:string")
+    caught = [F.regexp_extract_all(whole, F.lit(pattern), F.lit(k + 1)) for k in range(n)]
+    return Val(F.flatten(F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.array(x, *[F.get(c, i) for c in caught])).otherwise(F.array(x)))), "list:string")
+
+
 def _join(*vs: Val) -> Val:
     sep, xs = (vs[0], vs[1]) if len(vs) == 2 else (Val(F.lit(""), "string", ""), vs[0])
     return Val(F.array_join(xs.col.cast("array<string>"), sep.const if isinstance(sep.const, str) else ""), "string")
@@ -181,12 +201,12 @@ FUNCTIONS: dict[str, Callable[..., Val]] = {
     "identity": lambda v: v,
     "ground": lambda v: v,
     "untuple": lambda v: v,
-    "vector": lambda *vs: Val(F.array(*[v.col for v in vs]), "list"),
-    "tuple": lambda *vs: Val(F.struct(*[v.col.alias(f"_{k}") for k, v in enumerate(vs)]), "tuple"),
+    "vector": _vector,
+    "tuple": lambda *vs: Val(F.struct(*[v.col.alias(f"_{k}") for k, v in enumerate(vs)]), "tuple:" + ",".join(v.kind for v in vs)),
     "re-find": _re_result(False),
     "re-matches": _re_result(True),
-    "re-seq": lambda p, s: Val(F.regexp_extract_all(text(s), F.lit(_pattern(p)), F.lit(0)), "list"),
-    "split": lambda s, p: Val(F.split(text(s), _pattern(p), -1), "list"),
+    "re-seq": lambda p, s: Val(F.regexp_extract_all(text(s), F.lit(_pattern(p)), F.lit(0)), "list:string"),
+    "split": _split,
     "join": _join,
     "rand": lambda: Val(F.rand(), "double"),
     "rand-int": lambda n: Val(F.floor(F.rand() * number(n)).cast("bigint"), "long"),

@@ -5,7 +5,9 @@ A pattern is EDN text or a list of specs: an attribute (`:ns/name`, reverse `:ns
 `[attribute :as key :limit n :offset n :default v :where [...] :order [...]]`. Children are filtered, ordered,
 skipped and cut in this order, then resolved, so only the kept ones are read further. Many-valued attributes are
 arrays in value order, at most 1000 long unless :limit says otherwise (None: unlimited). Attributes that an
-entity lacks are null fields; `tree` leaves them out.
+entity lacks are null fields; `tree` leaves them out. A reference's target with nothing of its sub-pattern is
+`{db/id}`. Recursion goes level by level for all entities at once, each level written to the shared folder; an
+entity that its own path holds already, or that lies beyond a number's depth, is `{db/id}`, so cycles end.
 """
 
 from __future__ import annotations
@@ -23,11 +25,10 @@ from ..edn import Const
 from ..functions.builtins import predicate
 from ..functions.values import Val, const
 from ..plans.query import QueryError
+from ..sources.scratch import written
 from ..sources.views import VALUE, Attribute, View
 
 LIMIT = 1000
-#: Levels that `...` recurs at most.
-DEPTH = 16
 _OPS = {"eq": "=", "ne": "!=", "lt": "<", "lte": "<=", "gt": ">", "gte": ">=", "startsWith": "starts-with?", "endsWith": "ends-with?", "includes": "includes?"}
 
 
@@ -79,36 +80,50 @@ def _spec(x) -> Spec:
     return spec
 
 
-def pull_frame(view: View, ids: DataFrame, pattern, depth: int = 0) -> DataFrame:
-    """(e, tree) of the distinct entities of ids (e)."""
+def _recurs(s) -> bool:
+    return isinstance(s, Spec) and (s.sub == "..." or isinstance(s.sub, int) and not isinstance(s.sub, bool))
+
+
+def pull_frame(view: View, ids: DataFrame, pattern, nested: bool = False) -> DataFrame:
+    """(e, tree) of the distinct entities of ids (e). nested: a tree with nothing in it gets its db/id."""
     specs = parse_pattern(pattern) if not (isinstance(pattern, list) and all(isinstance(s, Spec) or s in ("*", "db/id") for s in pattern)) else pattern
+    specs = [s for s in specs if not isinstance(s, Spec) or s.attr in view.schema.attributes or s.default is not None]  # unknown attributes are left out
+    if any(map(_recurs, specs)):
+        return _unrolled(view, ids, specs, nested)
     out = ids.select("e").distinct()
-    fields: list[Column] = []
+    fields: dict[str, Column] = {}
     for k, s in enumerate(specs):
         if s == "db/id":
-            fields.append(F.col("e").alias("db/id"))
+            fields["db/id"] = F.col("e")
         elif s == "*":
-            values = _wildcard(view, ids, f"__{k}")
-            out = out.join(values, "e", "left")
-            fields.append(F.col(f"__{k}").alias("*"))
+            out = out.join(_wildcard(view, ids, f"__{k}"), "e", "left")
+            fields.setdefault("db/id", F.when(F.col(f"__{k}").isNotNull(), F.col("e")))
+            fields["*"] = F.col(f"__{k}")
+        elif s.attr not in view.schema.attributes:
+            fields[s.key] = const(s.default).col
         else:
-            attr = view.schema.attributes.get(s.attr)
-            if attr is None:
-                continue  # unknown attributes are left out
-            values = _values(view, ids, attr, s, specs, depth).withColumnRenamed("value", f"__{k}")
+            values = _values(view, ids, view.schema.attributes[s.attr], s).withColumnRenamed("value", f"__{k}")
             out = out.join(values, "e", "left")
-            col = F.col(f"__{k}")
-            if s.default is not None:
-                col = F.coalesce(col, const(s.default).col)
-            fields.append(col.alias(s.key))
-    return out.select("e", F.struct(*fields).alias("tree") if fields else F.struct(F.col("e").alias("db/id")).alias("tree"))
+            fields[s.key] = F.col(f"__{k}") if s.default is None else F.coalesce(F.col(f"__{k}"), const(s.default).col)
+    return out.select("e", _tree(fields, F.col("e"), nested).alias("tree"))
+
+
+def _tree(fields: Mapping[str, Column], e: Column, nested: bool) -> Column:
+    if nested and "db/id" not in fields or not fields:
+        empty = reduce(lambda a, b: a & b, [c.isNull() for c in fields.values()], F.lit(True))
+        fields = {"db/id": F.when(empty, e), **fields}
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
 def _wildcard(view: View, ids: DataFrame, name: str) -> DataFrame:
+    """A map from attribute to its values, and whether it may have many."""
     facts = view.everything().join(ids.select("e").distinct(), "e", "left_semi")
     each = facts.groupBy("e", "a").agg(F.sort_array(F.collect_list(F.struct(*VALUE))).alias("vs"))
-    idents = F.create_map(*[x for a in view.schema.attributes.values() for x in (F.lit(a.id), F.lit(a.ident))])
-    return each.groupBy("e").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce(idents[F.col("a")], F.col("a").cast("string")).alias("k"), F.col("vs"))))).alias(name))
+    known = view.schema.attributes.values()
+    idents = F.create_map(*[x for a in known for x in (F.lit(a.id), F.lit(a.ident))])
+    many = F.col("a").isin([a.id for a in known if a.many])
+    entry = F.struct(F.coalesce(idents[F.col("a")], F.col("a").cast("string")).alias("k"), F.struct(many.alias("many"), "vs").alias("v"))
+    return each.groupBy("e").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(name))
 
 
 def _edges(view: View, attr: Attribute, reverse: bool) -> DataFrame:
@@ -116,14 +131,18 @@ def _edges(view: View, attr: Attribute, reverse: bool) -> DataFrame:
     return rel.select(F.col("v").alias("e"), F.col("e").alias("v")) if reverse else rel.select("e", "v")
 
 
-def _values(view: View, ids: DataFrame, attr: Attribute, s: Spec, specs: list, depth: int) -> DataFrame:
+def _single(attr: Attribute, s: Spec) -> bool:
+    return (attr.component and s.reverse) or (not attr.many and not s.reverse)
+
+
+def _chosen(view: View, ids: DataFrame, attr: Attribute, s: Spec) -> DataFrame:
+    """(e, v, rn): the values that a spec keeps of each entity, with their places."""
     if s.reverse and attr.kind != "ref":
         raise QueryError(f"{attr.ident} is no reference")
     rows = _edges(view, attr, s.reverse).join(ids.select("e").distinct(), "e", "left_semi")
     if s.where:
         keep = _satisfying(view, rows.select(F.col("v").alias("e")).distinct(), s.where)
         rows = rows.join(keep.withColumnRenamed("e", "v"), "v", "left_semi")
-    single = (attr.component and s.reverse) or (not attr.many and not s.reverse)
     keys = []
     for k, o in enumerate(s.order):
         path, *more = o if isinstance(o, list) and not str(o[0]).startswith(":db/") else [o]
@@ -137,28 +156,67 @@ def _values(view: View, ids: DataFrame, attr: Attribute, s: Spec, specs: list, d
     rows = rows.select("e", "v", rank.alias("rn"))
     if s.offset:
         rows = rows.where(F.col("rn") > s.offset)
-    if single:
-        rows = rows.where(F.col("rn") == s.offset + 1)
-    elif s.limit is not None:
-        rows = rows.where(F.col("rn") <= s.offset + s.limit)
+    if _single(attr, s):
+        return rows.where(F.col("rn") == s.offset + 1)
+    return rows if s.limit is None else rows.where(F.col("rn") <= s.offset + s.limit)
+
+
+def _listed(value: Column) -> Column:
+    """Values of a group in the order of their places."""
+    cells = F.array_sort(F.collect_list(F.struct("rn", F.struct(value.alias("x")).alias("y"))), lambda p, q: p["rn"] - q["rn"])
+    return F.transform(cells, lambda p: p["y"]["x"])
+
+
+def _values(view: View, ids: DataFrame, attr: Attribute, s: Spec) -> DataFrame:
+    rows = _chosen(view, ids, attr, s)
     if attr.kind == "ref":
-        sub, deeper = s.sub, depth
-        if sub == "..." or isinstance(sub, int) and not isinstance(sub, bool):
-            most = DEPTH if sub == "..." else sub
-            alive = depth < most and bool(rows.limit(1).count())
-            sub, deeper = (specs, depth + 1) if alive else (["db/id"], 0)
-        inner = pull_frame(view, rows.select(F.col("v").alias("e")), sub if sub is not None else ["db/id"], deeper).withColumnRenamed("e", "v")
+        inner = pull_frame(view, rows.select(F.col("v").alias("e")), s.sub if s.sub is not None else ["db/id"], True).withColumnRenamed("e", "v")
         rows = rows.join(inner, "v").withColumn("value", F.col("tree"))
     else:
         rows = rows.withColumn("value", F.col("v"))
-    if single:
-        return rows.select("e", "value")
-    listed = rows.groupBy("e").agg(F.sort_array(F.collect_list(F.struct("rn", F.struct(F.col("value").alias("x")).alias("y")))).alias("l")) if _sortable(rows.schema["value"].dataType) else rows.groupBy("e").agg(F.array_sort(F.collect_list(F.struct("rn", F.struct(F.col("value").alias("x")).alias("y"))), lambda p, q: p["rn"] - q["rn"]).alias("l"))
-    return listed.select("e", F.transform("l", lambda p: p["y"]["x"]).alias("value"))
-
-
-def _sortable(kind) -> bool:
-    return "map<" not in kind.simpleString()
+    return rows.select("e", "value") if _single(attr, s) else rows.groupBy("e").agg(_listed(F.col("value")).alias("value"))
+
+
+def _unrolled(view: View, ids: DataFrame, specs: list, nested: bool) -> DataFrame:
+    """Trees of a pattern that recurs. A node is a path of entities and the specs (by) that led along it."""
+    attrs = {k: view.schema.attributes[s.attr] for k, s in enumerate(specs) if _recurs(s)}
+    nodes = ids.select("e").distinct().select("e", F.array("e").alias("path"), F.array().cast("array<int>").alias("by"))
+    places, children = [nodes], []
+    while True:
+        parts = []
+        for k, attr in attrs.items():
+            deep = isinstance(specs[k].sub, int) and len(children) >= specs[k].sub
+            cut = F.lit(True) if deep else F.array_contains("path", F.col("v"))
+            parts.append(nodes.join(_chosen(view, nodes.select("e"), attr, specs[k]), "e").select("path", "by", F.lit(k).alias("k"), "rn", "v", cut.alias("cut")))
+        found = written(reduce(DataFrame.unionByName, parts), "pull-level")
+        children.append(found)
+        nodes = found.where("not cut").select(F.col("v").alias("e"), F.concat("path", F.array("v")).alias("path"), F.concat("by", F.array("k")).alias("by"))
+        if nodes.isEmpty():
+            break
+        places.append(nodes)
+    every = reduce(DataFrame.unionByName, [p.select("e") for p in places]).distinct()
+    base = pull_frame(view, every, plain := [s for s in specs if not _recurs(s)] or ["db/id"]).withColumnRenamed("tree", "__base")
+    names = [n for n in base.schema["__base"].dataType.names if plain != ["db/id"] or "db/id" in specs]
+    deeper = None
+    for depth in reversed(range(len(places))):
+        kids = children[depth]
+        if deeper is None:
+            kids = kids.withColumn("value", F.struct(F.col("v").alias("db/id")))
+        else:
+            below = deeper.toDF("__e", "__path", "__by", "__tree")
+            kids = kids.withColumn("__p", F.concat("path", F.array("v"))).withColumn("__b", F.concat("by", F.array("k")))
+            kids = kids.join(below, (kids["__p"] == below["__path"]) & (kids["__b"] == below["__by"]) & ~kids["cut"], "left")
+            inner = [n for n in below.schema["__tree"].dataType.names if n != "db/id"]
+            kids = kids.withColumn("value", F.struct(F.coalesce(F.col("__tree")["db/id"], F.when(F.col("cut"), F.col("v"))).alias("db/id"), *[F.col("__tree")[n].alias(n) for n in inner]))
+        out = places[depth].join(base, "e", "left")
+        fields = {n: F.col("__base")[n] for n in names}
+        for k, attr in attrs.items():
+            mine = kids.where(F.col("k") == k)
+            got = (mine.select("path", "by", F.col("value").alias(f"__{k}")) if _single(attr, specs[k]) else mine.groupBy("path", "by").agg(_listed(F.col("value")).alias(f"__{k}")))
+            out = out.join(got, ["path", "by"], "left")
+            fields[specs[k].key] = F.col(f"__{k}")
+        deeper = out.select("e", "path", "by", _tree(fields, F.col("e"), nested or depth > 0).alias("tree"))
+    return deeper.select("e", "tree")
 
 
 def _follow(view: View, starts: DataFrame, hops: list) -> DataFrame:
@@ -227,7 +285,7 @@ def tree(value):
         star = out.pop("*", None)
         return {**(star or {}), **out}
     if isinstance(value, dict):
-        return {k: ([_slot(x) for x in v] if len(v) > 1 else _slot(v[0])) for k, v in value.items()}
+        return {k: [_slot(x) for x in v["vs"]] if v["many"] else _slot(v["vs"][0]) for k, v in value.items()}
     return [tree(v) for v in value] if isinstance(value, list) else value
 
 

@@ -17,15 +17,18 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.aggregates import AGGREGATES
+from ..functions.aggregates import AGGREGATES, DRAW
 from ..functions.builtins import bare, function, predicate
-from ..functions.values import SPARK_TYPES, Val, before, const, equal, kind_of, plain, sort_key
+from ..functions.values import SPARK_TYPES, UNION, Val, before, cast_to, common, const, equal, kind_of, plain, slots, sort_key
 from ..sources.scratch import written
 from ..sources.views import TX0, VALUE, View, coerced
 from .query import BLANK, Aggregate, Binding, BudgetError, Call, Lookup, Not, Or, Pattern, PullFind, Query, QueryError, RuleCall, Var, parse_query, vars_of
 
 MAX_ROUNDS = 1000
+#: Cells (rows times columns) that a product, or a recursive rule, may have unless the caller says otherwise.
+BUDGET = 1_572_864
 
 
 @dataclass(frozen=True)
@@ -299,13 +302,13 @@ def call(ctx: Context, rel: Relation | None, c: Call) -> Relation:
         if test is not None:
             return replace(rel, df=rel.df.where(test(*[_arg(rel, x) for x in c.args])))
         if name in ctx.functions:
-            return replace(rel, df=rel.df.where(_user(ctx, name, [_arg(rel, x) for x in c.args]).col))
+            return replace(rel, df=rel.df.where(_user(ctx, rel, name, [_arg(rel, x) for x in c.args]).col))
         raise QueryError(f"unknown predicate {c.fn}")
     if name == "ground" and not isinstance(c.args[0], Var):
         return join(ctx, rel, bind_rows(ctx, c.binding, c.args[0]))
     rel = _unit(ctx, rel)
     if name in ctx.functions:
-        value = _user(ctx, name, [_arg(rel, x) for x in c.args])
+        value = _user(ctx, rel, name, [_arg(rel, x) for x in c.args])
     elif function(name) is not None:
         value = function(name)(*[_arg(rel, x) for x in c.args])
     else:
@@ -313,14 +316,29 @@ def call(ctx: Context, rel: Relation | None, c: Call) -> Relation:
     return _bind_column(ctx, rel, c.binding, value)
 
 
-def _user(ctx: Context, name: str, args: list[Val]) -> Val:
-    """A user function: (callable, kind) of Python values, or a callable that takes and gives columns."""
+def _user(ctx: Context, rel: Relation, name: str, args: list[Val]) -> Val:
+    """A user function: (callable, kind) of Python values, sent in Arrow batches, or a callable that takes and gives
+    columns."""
     fn = ctx.functions[name]
     if isinstance(fn, tuple):
         f, kind = fn
         returns = SPARK_TYPES.get(kind, kind)
-        return Val(F.udf(f, returns)(*[a.col for a in args]), "list" if returns.startswith("array") else kind)
-    return Val(fn(*[a.col for a in args]), "double")
+        return Val(F.udf(f, returns, useArrow=True)(*[a.col for a in args]), kind if kind in SPARK_TYPES else _kind_of_type(T.DataType.fromDDL(returns)))
+    col = fn(*[a.col for a in args])
+    return Val(col, _kind_of_type(rel.df.select(col.alias("__x")).schema["__x"].dataType))
+
+
+def _kind_of_type(kind: T.DataType) -> str:
+    """The kind of a column that a user's function or a generator gives."""
+    if isinstance(kind, T.ArrayType):
+        return f"list:{_kind_of_type(kind.elementType)}"
+    if isinstance(kind, T.StructType):
+        return "any" if "vt" in kind.names else "tuple:" + ",".join(_kind_of_type(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.IntegralType):
+        return "long"
+    if isinstance(kind, (T.FractionalType, T.DecimalType)):
+        return "double"
+    return {"boolean": "boolean", "binary": "bytes"}.get(kind.simpleString(), "string")
 
 
 def _bind_column(ctx: Context, rel: Relation, binding: Binding, value: Val) -> Relation:
@@ -333,9 +351,15 @@ def _bind_column(ctx: Context, rel: Relation, binding: Binding, value: Val) -> R
             return replace(rel, df=rel.df.where(equal(rel.val(names[0]), value)))
         df = rel.df.select(*kept, value.col.alias(names[0])).where(F.col(f"`{names[0]}`").isNotNull())
         return Relation(df, {**rel.kinds, names[0]: value.kind}, rel.consts, rel.nullable)
-    inner = "string"
+    if not value.several:
+        raise QueryError(f"a {value.kind} isn't a collection to take apart")
     if binding.kind == "coll":
-        df = rel.df.select(*kept, F.explode(value.col).alias("__x"))
+        items = value
+        if value.kind.startswith("tuple"):
+            kind = common(value.inner)
+            items = Val(F.array(*[cast_to(Val(value.col[f"_{k}"], own), kind) for k, own in enumerate(value.inner)]), f"list:{kind}")
+        df = rel.df.select(*kept, F.explode(items.col).alias("__x"))
+        inner = items.kind.partition(":")[2] or "string"  # of a list of lists: the inner list
         new = Relation(df, {**rel.kinds, "__x": inner}, rel.consts, rel.nullable)
         return _settle(new, [("__x", binding.vars[0])], nullable=True)
     if binding.kind == "rel":
@@ -343,12 +367,15 @@ def _bind_column(ctx: Context, rel: Relation, binding: Binding, value: Val) -> R
         cells = [(F.get(F.col("__x"), F.lit(k)), v) for k, v in enumerate(binding.vars)]
     else:
         df = rel.df.select(*kept, value.col.alias("__x"))
-        cells = [(F.col("__x")[f"_{k}"] if value.kind == "tuple" else F.get(F.col("__x"), F.lit(k)), v) for k, v in enumerate(binding.vars)]
+        tuple_ = value.kind.startswith("tuple")
+        if tuple_ and len(binding.vars) > len(value.inner):
+            raise QueryError(f"a tuple of {len(value.inner)} places can't bind {len(binding.vars)} variables")
+        cells = [(F.col("__x")[f"_{k}"] if tuple_ else F.get(F.col("__x"), F.lit(k)), v) for k, v in enumerate(binding.vars)]
     df = df.select(*[F.col(f"`{n}`") for n in rel.kinds], *[c.alias(f"__x{k}") for k, (c, _) in enumerate(cells)])
     kinds = {}
     for k in range(len(cells)):
-        simple = df.schema[f"__x{k}"].dataType.simpleString()
-        kinds[f"__x{k}"] = {"bigint": "long", "int": "long", "double": "double", "boolean": "boolean"}.get(simple, "string")
+        known = value.inner[k] if value.kind.startswith("tuple") else value.inner[0] if binding.kind == "tuple" else ""
+        kinds[f"__x{k}"] = known if known in SPARK_TYPES or known == "any" else _kind_of_type(df.schema[f"__x{k}"].dataType)
     return _settle(Relation(df, {**rel.kinds, **kinds}, rel.consts, rel.nullable), [(f"__x{k}", v) for k, (_, v) in enumerate(cells)])
 
 
@@ -377,16 +404,11 @@ def bind_rows(ctx: Context, binding: Binding, value) -> Relation:
     places = [(k, v) for k, v in enumerate(binding.vars) if v != BLANK]
     kinds, null = {}, set()
     for k, v in places:
-        found = {kind_of(r[k]) for r in rows} - {"null"}
-        if found == {"long", "double"}:
-            found = {"double"}
-        if len(found) > 1:
-            raise QueryError(f"{v} is given values of different kinds")
-        kinds[v.name] = found.pop() if found else "null"
+        kinds[v.name] = common(kind_of(r[k]) for r in rows)
         if any(r[k] is None for r in rows):
             null.add(v.name)
-    schema = ", ".join(f"`{v.name}` {SPARK_TYPES.get(kinds[v.name], 'string')}" for _, v in places)
-    cells = [tuple(None if r[k] is None else coerced(kinds[v.name], r[k]) for k, v in places) for r in rows]
+    schema = ", ".join(f"`{v.name}` {UNION if kinds[v.name] == 'any' else SPARK_TYPES.get(kinds[v.name], 'string')}" for _, v in places)
+    cells = [tuple(None if r[k] is None else slots(r[k]) if kinds[v.name] == "any" else coerced(kinds[v.name], r[k]) for k, v in places) for r in rows]
     df = ctx.spark.createDataFrame(list(dict.fromkeys(cells)), schema) if places else ctx.spark.range(1 if rows else 0).select(F.lit(1).alias("__one"))
     single = {v.name: rows[0][k] for k, v in places if len(rows) == 1 and rows[0][k] is not None}
     return Relation(df, kinds, single, frozenset(null))
@@ -403,11 +425,10 @@ def _attribute_call(ctx: Context, rel: Relation, name: str, c: Call) -> Relation
         return replace(rel, df=rel.df.join(facts, e.col == facts["__e"], "left_anti"))
     default = const(args[2])
     df = rel.df.join(facts, e.col == facts["__e"], "left")
-    kind = attr.kind if default.cls == Val(None, attr.kind).cls else None
-    if kind is None:
-        raise QueryError(f"the default of {attr.ident} is of another kind")
-    out = F.coalesce(facts["__v"], F.lit(coerced(attr.kind, args[2])).cast(SPARK_TYPES[attr.kind]))
-    base = Relation(df.select(*[rel.df[f"`{n}`"] for n in rel.kinds], out.alias("__x")), {**rel.kinds, "__x": attr.kind}, rel.consts, rel.nullable)
+    value = Val(facts["__v"], attr.kind)
+    kind = common((attr.kind, default.kind))
+    out = F.coalesce(cast_to(value, kind), cast_to(default, kind))
+    base = Relation(df.select(*[rel.df[f"`{n}`"] for n in rel.kinds], out.alias("__x")), {**rel.kinds, "__x": kind}, rel.consts, rel.nullable)
     return _settle(base, [("__x", c.binding.vars[0])]) if c.binding else base
 
 
@@ -478,14 +499,8 @@ def either(ctx: Context, rel: Relation | None, c: Or) -> Relation:
 def union(parts: Sequence[Relation]) -> Relation:
     kinds: dict[str, str] = {}
     for n in parts[0].kinds:
-        own = {p.kinds[n] for p in parts} - {"null"}
-        if own and own <= {"long", "double", "ref"}:
-            kinds[n] = "double" if "double" in own else "long" if "long" in own else "ref"
-        elif len(own) > 1:
-            raise QueryError(f"branches give ?{n} values of different kinds")
-        else:
-            kinds[n] = own.pop() if own else "null"
-    frames = [p.df.select(*[F.col(f"`{n}`").cast(SPARK_TYPES[k]).alias(n) if k in SPARK_TYPES else F.col(f"`{n}`") for n, k in kinds.items()]) for p in parts]
+        kinds[n] = common(p.kinds[n] for p in parts)
+    frames = [p.df.select(*[cast_to(Val(F.col(f"`{n}`"), p.kinds[n]), k).alias(n) for n, k in kinds.items()]) for p in parts]
     return Relation(reduce(DataFrame.unionByName, frames).distinct(), kinds, {}, frozenset().union(*[p.nullable for p in parts]))
 
 
@@ -657,6 +672,10 @@ class Result:
     steps: list[dict]
     keyed: bool = False
 
+    def explain(self) -> dict:
+        """The compiler's steps, in order, and Spark's plan."""
+        return {"steps": self.steps, "plan": self.df._jdf.queryExecution().explainString(self.df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))}
+
     def rows(self) -> list:
         out = []
         for r in self.df.collect():
@@ -677,11 +696,9 @@ class Result:
 
 
 def _shown(x, kind: str | None):
-    if kind == "any" and x is not None:
-        return next((x[f] for f in VALUE[1:] if x[f] is not None), None)
     if hasattr(x, "asDict"):
-        return x.asDict(recursive=True)
-    return x
+        return next((x[f] for f in VALUE[1:] if x[f] is not None), None) if "vt" in x and kind != "tree" else x.asDict(recursive=True)
+    return [_shown(y, kind) for y in x] if isinstance(x, list) else x
 
 
 def _column_name(f) -> str:
@@ -692,8 +709,9 @@ def _column_name(f) -> str:
     return f.alias or f"{f.fn}_{f.var.name}"
 
 
-def run_query(sources: View | Mapping[str, View], source, *inputs, functions: Mapping[str, Any] | None = None, budget: int | None = None) -> Result:
-    """Compile a query against one database or several named ones; inputs follow :in, databases left out."""
+def run_query(sources: View | Mapping[str, View], source, *inputs, functions: Mapping[str, Any] | None = None, budget: int | None = BUDGET) -> Result:
+    """Compile a query against one database or several named ones; inputs follow :in, databases left out. budget:
+    cells that a product or a recursive rule may have (None: any number)."""
     q = parse_query(source)
     db = dict(sources) if isinstance(sources, Mapping) else {"$": sources}
     ctx = Context(db, dict(q.rules), dict(functions or {}), budget)
@@ -737,6 +755,8 @@ def finish(ctx: Context, q: Query, rel: Relation, pull_patterns: Mapping[str, An
     cells: dict[str, Val]
     if aggregates:
         tuples = rel.only(base)
+        if any(isinstance(f, Aggregate) and f.fn == "rand" for f in elements):
+            tuples = replace(tuples, df=tuples.df.withColumn(DRAW, F.rand()))
         groups = [(n, f) for n, f in zip(names, elements) if not isinstance(f, Aggregate)]
         aggs, kinds = [], {}
         for n, f in zip(names, elements):
@@ -776,7 +796,7 @@ def finish(ctx: Context, q: Query, rel: Relation, pull_patterns: Mapping[str, An
         df = df.where(_beyond(orders, q.after))
     keys = []
     for v, o in orders:
-        c = sort_key(v) if v.kind == "any" else v.col
+        c = F.when(v.col.isNotNull(), sort_key(v)) if v.kind == "any" else v.col
         keys.append((c.desc_nulls_first() if o.empty_first else c.desc_nulls_last()) if o.descending else (c.asc_nulls_first() if o.empty_first else c.asc_nulls_last()))
     if keys:
         df = df.orderBy(*keys)

@@ -141,7 +141,16 @@ def term(x):
         return x.value
     if isinstance(x, list) and len(x) == 2 and isinstance(x[0], str) and x[0].startswith(":"):
         return Lookup(x[0][1:], term(x[1]))
-    return x
+    return _unquoted(x)
+
+
+def _unquoted(x):
+    """A literal without the marks of its quoted strings."""
+    if isinstance(x, Const):
+        return x.value
+    if isinstance(x, (list, tuple)):
+        return [_unquoted(y) for y in x]
+    return {_unquoted(y) for y in x} if isinstance(x, set) else x
 
 
 def attr_name(x: str) -> str:
