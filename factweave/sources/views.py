@@ -118,16 +118,22 @@ class View:
         return out
 
     def seek_many(self, keys: DataFrame) -> DataFrame:
-        """Facts for many (e) or (e, a) keys at once, repeated keys repeated."""
+        """Facts for many (e) or (e, a) keys at once, with all columns of keys: repeated keys repeat, and a key without
+        facts has one row of nulls, so results can be set beside the keys."""
         on = [c for c in ("e", "a") if c in keys.columns]
-        return keys.join(self.everything(), on)
+        return keys.join(self.everything(), on, "left")
 
     def first(self, **prefix):
         rows = self.datoms(**prefix).orderBy("e", "a", *VALUE, "t").limit(1).collect()
         return rows[0] if rows else None
 
+    def stored(self) -> DataFrame:
+        """All facts that an index holds, history included."""
+        return self.everything()
+
     def estimate(self, attr=None) -> int:
-        out = self.everything()
+        """Facts that a scan would read: of the whole history, before views and policies."""
+        out = self.stored()
         return (out if attr is None else out.where(F.col("a") == self.schema.attr(attr).id)).count()
 
     def exists(self, e) -> bool:
@@ -217,6 +223,9 @@ class Facts(View):
     def everything(self) -> DataFrame:
         return self._shown(self.log)
 
+    def stored(self) -> DataFrame:
+        return self.log
+
     def relation(self, attr: Attribute, tx: bool = False) -> DataFrame:
         rows = self._shown(self.log.where(F.col("a") == attr.id))
         return rows.select("e", F.col(SLOTS[attr.kind]).alias("v"), *(("t", "op") if tx else ()))

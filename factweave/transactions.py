@@ -1,14 +1,21 @@
 """Transactions: operations to datoms, appended to a log by one writer.
 
 The driver resolves a transaction's operations (it is small: what a client sends at once) with a few filtered
-reads of the current view, and appends the datoms. A store keeps the log as Parquet: `log/t=<n>` folders that a
-commit marker makes visible, and `snap/<n>` compactions, partitioned by attribute and sorted by entity, with the
-pointer file `current`.
+reads of the current view, and appends the datoms. Facts are stored before the connection's own state moves, so a
+failure of any kind leaves it where it was.
+
+A store keeps the log as Parquet: `log/t=<n>` folders that a commit marker makes visible, and compactions: `snap/<n>`
+holds the attributes that the log touched since the last one, partitioned by attribute and sorted by entity, and the
+manifest `roots/<n>` names, for every attribute, the folder that has it. A manifest is written aside and renamed, so
+the newest one is whole; nothing that a manifest names is ever written again. A transaction number is claimed by
+creating `claims/<n>`, which fails for a second writer.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -29,7 +36,9 @@ class TxError(ValueError):
 
 FIRST_USER = 1000
 #: Attributes that describe attributes: ident -> (id, kind).
-BOOT = {"db/ident": (10, "string"), "db/valueType": (40, "ref"), "db/cardinality": (41, "ref"), "db/unique": (42, "ref"), "db/index": (43, "boolean"), "db/isComponent": (44, "boolean"), "db/txInstant": (50, "instant"), "db/doc": (62, "string")}
+BOOT = {"db/ident": (10, "string"), "db/valueType": (40, "ref"), "db/cardinality": (41, "ref"), "db/unique": (42, "ref"), "db/index": (43, "boolean"), "db/isComponent": (44, "boolean"), "db/txInstant": (50, "instant"), "db/doc": (62, "string"), "db/clientTx": (63, "string")}
+#: Transactions of clients that are remembered.
+REPLAYS = 256
 #: Entities that schema values name.
 ENUMS = {f"db.type/{k}": 100 + t for k, t in TAGS.items()} | {"db.cardinality/one": 120, "db.cardinality/many": 121, "db.unique/identity": 122, "db.unique/value": 123}
 _ENUM_NAMES = {v: k for k, v in ENUMS.items()}
@@ -95,6 +104,10 @@ class Report:
     datoms: list[tuple]
 
 
+class StaleError(RuntimeError):
+    """A store that hasn't reached the transaction that a reader must see."""
+
+
 class Connection:
     """One database: a log of datoms with a single writer."""
 
@@ -107,6 +120,10 @@ class Connection:
         self._schema_rows: dict[tuple[int, int], Any] = {}
         self._done: dict[str, Report] = {}
         if log is not None:
+            told = log.where((F.col("a") == BOOT["db/clientTx"][0]) & F.col("op")).orderBy(F.desc("t")).limit(REPLAYS).select("t", "v_str").collect()
+            for r in reversed(told):
+                name, tempids = json.loads(r["v_str"])
+                self._done[name] = Report(r["t"], tempids, None)
             top = log.agg(F.max("t"), F.max(F.when((F.col("e") < TX0) & (F.col("e") >= FIRST_USER), F.col("e")))).head()
             self.t, self._next = top[0] or 1, max(FIRST_USER, (top[1] or 0) + 1)
             current = Facts(spark, log, schema_of([])).everything().where(F.col("a").isin([i for i, _ in BOOT.values()])).select("e", "a", F.col("v_str"), F.col("v_long"), F.col("v_bool")).collect()
@@ -132,33 +149,39 @@ class Connection:
     def transact(self, ops: Sequence, client_id: str | None = None) -> Report:
         """Apply operations all or none. A client id that was applied before gives its report again."""
         if client_id is not None and client_id in self._done:
-            return self._done[client_id]
+            known = self._done[client_id]
+            if known.datoms is None:  # of an earlier connection: its facts are in the log
+                known.datoms = [tuple(r) for r in self.log().where(F.col("t") == known.t).collect()]
+            return known
         rows, report = self._expand(ops)
-        self._append(rows)
+        if client_id is not None:
+            rows.append(datom(TX0 + report.t, self.schema.by_id[BOOT["db/clientTx"][0]], json.dumps([client_id, report.tempids]), report.t, True))
+        if self.path is not None:
+            self._persist(rows, report.t, report.t)
+        self._apply(rows)
         self.t, self._next = report.t, self._pending_next
         if client_id is not None:
             self._done[client_id] = report
-            while len(self._done) > 256:
+            while len(self._done) > REPLAYS:
                 self._done.pop(next(iter(self._done)))
         return report
 
     def transact_many(self, batch: Sequence[Sequence]) -> list[Report]:
-        """A group of transactions committed by one write; none is kept if one fails."""
-        state = self.t, self._next, list(self._tail), dict(self._schema_rows), self.schema
+        """A group of transactions committed by one write; none is kept if one fails, or the write does."""
+        state = self.t, self._next, list(self._tail), dict(self._schema_rows), self.schema, dict(self._done)
         path, self.path = self.path, None
         try:
             out = [self.transact(ops) for ops in batch]
-        except TxError:
-            self.t, self._next, self._tail, self._schema_rows, self.schema = state
+            if path is not None and out:
+                Store(self.spark, path).append(self.spark.createDataFrame([d for r in out for d in r.datoms], DATOMS), out[-1].t, out[0].t)
+        except BaseException:
+            self.t, self._next, self._tail, self._schema_rows, self.schema, self._done = state
             raise
         finally:
             self.path = path
-        if path is not None:
-            self._persist([d for r in out for d in r.datoms], out[-1].t)
         return out
 
-    def _append(self, rows: list[tuple]) -> None:
-        t = rows[0][-2]
+    def _apply(self, rows: list[tuple]) -> None:
         self._tail += rows
         boot = {i for i, _ in BOOT.values()}
         for r in rows:
@@ -169,8 +192,6 @@ class Connection:
                 elif self._schema_rows.get((r[0], r[1])) == value:
                     self._schema_rows.pop((r[0], r[1]))
         self.schema = schema_of([(e, a, v) for (e, a), v in self._schema_rows.items()])
-        if self.path is not None:
-            self._persist(rows, t)
 
     # resolution
 
@@ -384,8 +405,8 @@ class Connection:
 
     # storage
 
-    def _persist(self, rows: list[tuple], t: int) -> None:
-        Store(self.spark, self.path).append(self.spark.createDataFrame(rows, DATOMS), t)
+    def _persist(self, rows: list[tuple], t: int, first: int) -> None:
+        Store(self.spark, self.path).append(self.spark.createDataFrame(rows, DATOMS), t, first)
 
 
 class Store:
@@ -401,17 +422,56 @@ class Store:
         p = self._path(f"{self.path}/{sub}")
         return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
 
-    def append(self, rows: DataFrame, t: int) -> None:
-        """Write the datoms up to transaction t; they are visible once Spark's commit marker is there."""
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/t={t:012d}")
+    def _create(self, name: str, content: str) -> bool:
+        """Create a small file, whole or not at all; False if it is there already."""
+        target, aside = self._path(f"{self.path}/{name}"), self._path(f"{self.path}/.aside-{uuid.uuid4().hex}")
+        self._fs.mkdirs(target.getParent())
+        if self._fs.exists(target):
+            return False
+        out = self._fs.create(aside, True)
+        out.write(bytearray(content.encode()))
+        out.close()
+        return bool(self._fs.rename(aside, target)) or bool(self._fs.delete(aside, False)) and False
+
+    def append(self, rows: DataFrame, t: int, first: int | None = None) -> None:
+        """Write the datoms of transactions first to t; they are visible once Spark's commit marker is there. A writer
+        that comes second to a number is refused."""
+        numbers = range(t if first is None else first, t + 1)
+        claimed = []
+        try:
+            for n in numbers:
+                claim = self._path(f"{self.path}/claims/{n:012d}")
+                self._fs.mkdirs(claim.getParent())
+                if not self._fs.createNewFile(claim):  # atomic: one of two writers makes it
+                    raise TxError("conflict", f"another writer has transaction {n}")
+                claimed.append(claim)
+            rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/t={t:012d}")
+        except BaseException:
+            for claim in claimed:
+                self._fs.delete(claim, False)
+            raise
+
+    def recover(self) -> list[int]:
+        """Give up the claims of writers that died before they committed. Only while no writer is at work."""
+        done = max([*self.committed(), self.current(), 0])
+        left = [int(n) for n in self._names("claims") if int(n) > done]
+        for n in left:
+            self._fs.delete(self._path(f"{self.path}/claims/{n:012d}"), False)
+        return left
 
     def committed(self, after: int = 0) -> list[int]:
         return [t for n in self._names("log") if n.startswith("t=") and (t := int(n[2:])) > after and self._fs.exists(self._path(f"{self.path}/log/{n}/_SUCCESS"))]
 
     def current(self) -> int:
-        """The transaction of the current snapshot; 0 if there is none."""
-        p = f"{self.path}/current"
-        return int(self.spark.read.text(p).head()[0]) if self._fs.exists(self._path(p)) else 0
+        """The transaction of the newest snapshot; 0 if there is none."""
+        return max((int(n) for n in self._names("roots")), default=0)
+
+    def manifest(self, t: int) -> dict[int, int]:
+        """Attribute -> the snapshot whose folder has it, as of snapshot t."""
+        if not t:
+            return {}
+        text = "\n".join(r[0] for r in self.spark.read.text(f"{self.path}/roots/{t:012d}", wholetext=True).collect())
+        return {int(a): s for a, s in json.loads(text).items()}
 
     def tail(self, after: int) -> DataFrame:
         done = self.committed(after)
@@ -421,39 +481,62 @@ class Store:
     def snapshot(self, t: int | None = None) -> DataFrame:
         """History of all transactions up to a snapshot, as compacted."""
         t = self.current() if t is None else t
-        if not t:
-            return self.spark.createDataFrame([], DATOMS)
-        return self.spark.read.parquet(f"{self.path}/snap/{t:012d}").select(*DATOMS.fieldNames())
+        folders: dict[int, list[int]] = {}
+        for a, s in self.manifest(t).items():
+            folders.setdefault(s, []).append(a)
+        out = self.spark.createDataFrame([], DATOMS)
+        for s, attrs in sorted(folders.items()):
+            base = f"{self.path}/snap/{s:012d}"
+            part = self.spark.read.option("basePath", base).parquet(*[f"{base}/a={a}" for a in sorted(attrs)])
+            out = out.unionByName(part.withColumn("a", F.col("a").cast("bigint")).select(*DATOMS.fieldNames()))
+        return out
 
     def log(self) -> DataFrame:
         t = self.current()
         return self.snapshot(t).unionByName(self.tail(t)) if t else self.tail(0)
 
+    def at_root(self, t: int) -> Facts:
+        """The view of an old snapshot, as it was published."""
+        return Connection(self.spark, log=self.snapshot(t)).db()
+
     def compact(self) -> int:
-        """Merge the tail into a new snapshot, partitioned by attribute and sorted by entity, and point to it."""
-        done = self.committed()
+        """Merge the tail into a new snapshot: the attributes that it touches are written anew, partitioned by attribute
+        and sorted by entity; the manifest takes all others from where they are."""
+        root = self.current()
+        done = self.committed(root)
         if not done:
-            return self.current()
-        t = done[-1]
-        self.log().repartition("a").sortWithinPartitions("a", "e").write.mode("overwrite").partitionBy("a").parquet(f"{self.path}/snap/{t:012d}")
-        self.spark.createDataFrame([(str(t),)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+            return root
+        t, known, tail = done[-1], self.manifest(root), self.tail(root)
+        touched = [r[0] for r in tail.select("a").distinct().collect()]  # attributes, not facts
+        rows = tail.unionByName(self.snapshot(root).where(F.col("a").isin(touched))) if known else tail
+        rows.repartition("a").sortWithinPartitions("a", "e").write.mode("overwrite").partitionBy("a").parquet(f"{self.path}/snap/{t:012d}")
+        if not self._create(f"roots/{t:012d}", json.dumps(known | dict.fromkeys(touched, t))):
+            raise TxError("conflict", f"snapshot {t} was published by another")
         return t
 
     def retain(self, n: int) -> list[int]:
-        """Delete all but the n newest snapshots (the current one always stays) and log folders before the oldest kept."""
-        snaps = [int(x) for x in self._names("snap")]
-        keep = set(snaps[-n:] if n else []) | {self.current()}
-        for t in snaps:
+        """Keep the n newest snapshots (the current one always) and all that they name; delete other folders, and the
+        log before the oldest kept."""
+        roots = sorted(int(x) for x in self._names("roots"))
+        keep = sorted(set(roots[-n:] if n else []) | {self.current()})
+        live = {s for t in keep for s in self.manifest(t).values()}
+        for t in roots:  # a manifest goes before what it names
             if t not in keep:
-                self._fs.delete(self._path(f"{self.path}/snap/{t:012d}"), True)
-        oldest = min(keep)
+                self._fs.delete(self._path(f"{self.path}/roots/{t:012d}"), False)
+        for s in self._names("snap"):
+            if int(s) not in live and int(s) <= keep[-1]:
+                self._fs.delete(self._path(f"{self.path}/snap/{s}"), True)
         for t in self.committed():
-            if t <= oldest:
+            if t <= keep[0]:
                 self._fs.delete(self._path(f"{self.path}/log/t={t:012d}"), True)
-        return sorted(keep)
+        return keep
 
-    def connect(self) -> Connection:
+    def connect(self, min_t: int = 0) -> Connection:
+        """A connection that has seen transaction min_t, or a StaleError."""
+        reached = max([*self.committed(), self.current()])
+        if reached < min_t:
+            raise StaleError(f"the store is at {reached}, behind {min_t}")
         return Connection(self.spark, log=self.log(), path=self.path)
 
 
-__all__ = ["BOOT", "Connection", "Instant", "Report", "Store", "TxError", "SPARK_TYPES", "schema_of"]
+__all__ = ["BOOT", "Connection", "Instant", "Report", "StaleError", "Store", "TxError", "SPARK_TYPES", "schema_of"]
