@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans.compiler import run_query
+from .plans.compiler import BUDGET, run_query
 from .sources.views import DATOMS, Attribute, Facts, Schema, Tables
+from .surfaces import ALL as SURFACES
 
 PREFIX = {"region": "r_", "nation": "n_", "customer": "c_", "supplier": "s_", "part": "p_", "orders": "o_", "lineitem": "l_"}
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "labels": "doc_id", "pages": "page_id", "benchmark": "item_id"}
@@ -27,7 +28,7 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> Tables:
 def ask(*names: str, text, **more) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs = more.get("inputs", ())
-        return run_query(tables(spark, sf_dir, *names), text, *inputs, functions=more.get("functions")).df
+        return run_query(tables(spark, sf_dir, *names), text, *inputs, functions=more.get("functions"), budget=more.get("budget", BUDGET)).df
 
     return run
 
@@ -65,13 +66,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask("orders", "customer", "nation", text=_FLAG)(spark, sf_dir)
 
 
-def _pull(text, *names):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return text(tables(spark, sf_dir, *names))
-
-    return run
-
-
 #: name -> (query, SQL or None)
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "flagship_join": (flagship, "SELECT n_name AS cn, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1"),
@@ -81,21 +75,18 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "join_3clause": (ask("customer", "nation", "region", text="[:find ?name ?nn ?rn :where [?c :customer/name ?name] [?c :customer/nationkey ?n] [?n :nation/name ?nn] [?n :nation/regionkey ?r] [?r :region/name ?rn]]"), "SELECT DISTINCT c_name AS name, n_name AS nn, r_name AS rn FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "reverse_ref": (ask("supplier", "nation", text='[:find ?sn :where [?n :nation/name ?nn] [?s :supplier/nationkey ?n] [?s :supplier/name ?sn] [(< ?nn "NATION_2")]]'), "SELECT DISTINCT s_name AS sn FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name < 'NATION_2'"),
     "attr_variable": (ask("nation", "region", text="[:find (as (count ?e) ?n) :with ?a :where [?e ?a _]]"), "SELECT (SELECT 4 * count(*) FROM nation) + (SELECT 2 * count(*) FROM region) AS n"),
-    "theta_pred": (ask("part", text='[:find ?a ?b :where [?x :part/brand "Brand#11"] [?x :part/size ?sx] [?x :part/partkey ?a] [?y :part/brand "Brand#11"] [?y :part/size ?sy] [?y :part/partkey ?b] [(< ?sx ?sy)]]'), "SELECT DISTINCT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_size < y.p_size WHERE x.p_brand = 'Brand#11' AND y.p_brand = 'Brand#11'"),
+    "theta_pred": (ask("part", text='[:find ?a ?b :where [?x :part/brand "Brand#11"] [?x :part/size ?sx] [?x :part/partkey ?a] [?y :part/brand "Brand#11"] [?y :part/size ?sy] [?y :part/partkey ?b] [(< ?sx ?sy)]]', budget=None), "SELECT DISTINCT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_size < y.p_size WHERE x.p_brand = 'Brand#11' AND y.p_brand = 'Brand#11'"),
     "cross_product": (ask("region", text="[:find ?a ?b :where [?x :region/name ?a] [?y :region/name ?b]]"), "SELECT x.r_name AS a, y.r_name AS b FROM region x, region y"),
     "inputs_relation": (ask("nation", text="[:find ?name ?w :in [[?k ?w]] :where [?n :nation/nationkey ?k] [?n :nation/name ?name]]", inputs=([[1, "a"], [3, "b"], [5, "c"], [99, "d"]],)), "SELECT n_name AS name, w FROM nation JOIN (VALUES (1, 'a'), (3, 'b'), (5, 'c'), (99, 'd')) v(k, w) ON n_nationkey = k"),
     "inputs_scalar": (ask("customer", text="[:find ?name :in ?min :where [?c :customer/acctbal ?b] [(> ?b ?min)] [?c :customer/name ?name]]", inputs=(9000.0,)), "SELECT DISTINCT c_name AS name FROM customer WHERE c_acctbal > 9000"),
     "set_sum": (ask("part", text="[:find (as (sum ?s) ?total) :where [?p :part/size ?s]]"), "SELECT sum(DISTINCT p_size)::BIGINT AS total FROM part"),
     "with_sum": (ask("part", text="[:find ?brand (as (sum ?s) ?total) :with ?p :where [?p :part/brand ?brand] [?p :part/size ?s]]"), "SELECT p_brand AS brand, sum(p_size)::BIGINT AS total FROM part GROUP BY 1"),
     "agg_all": (ask("part", text="[:find ?brand (as (count ?s) ?n) (as (count-distinct ?s) ?d) (as (min ?s) ?lo) (as (max ?s) ?hi) (as (median ?s) ?mid) :with ?p :where [?p :part/brand ?brand] [?p :part/size ?s]]"), "SELECT p_brand AS brand, count(*) AS n, count(DISTINCT p_size) AS d, min(p_size)::BIGINT AS lo, max(p_size)::BIGINT AS hi, median(p_size)::DOUBLE AS mid FROM part GROUP BY 1"),
-    "agg_spread": (ask("part", text="[:find ?brand (as (avg ?s) ?mean) (as (variance ?s) ?var) (as (stddev ?s) ?dev) :with ?p :where [?p :part/brand ?brand] [?p :part/size ?s]]"), None),
-    "agg_minmax_n": (ask("part", text="[:find ?brand (as (min 3 ?s) ?low) (as (max 2 ?s) ?high) :where [?p :part/brand ?brand] [?p :part/size ?s]]"), None),
-    "agg_sample": (ask("part", text="[:find ?brand (as (sample 2 ?s) ?some) (as (rand 2 ?s) ?draws) :where [?p :part/brand ?brand] [?p :part/size ?s]]"), None),
     "having": (ask("orders", text="[:find ?p (as (count ?o) ?n) :where [?o :orders/orderpriority ?p] :having [(> ?n 100)]]"), "SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 100"),
     "not_labelled": (ask("documents", "labels", text="[:find ?id :where [?d :documents/doc_id ?id] (not [?l :labels/doc_id ?d])]"), "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
-    "missing_attr": (ask("orders", "customer", text='[:find ?name :where [?c :customer/name ?name] (not-join [?c] [?o :orders/custkey ?c] [?o :orders/orderpriority "1-URGENT"])]'), "SELECT DISTINCT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
+    "not_join_path": (ask("orders", "customer", text='[:find ?name :where [?c :customer/name ?name] (not-join [?c] [?o :orders/custkey ?c] [?o :orders/orderpriority "1-URGENT"])]'), "SELECT DISTINCT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "or_join": (ask("part", text='[:find ?k :where [?p :part/partkey ?k] (or-join [?p] [?p :part/brand "Brand#12"] (and [?p :part/size ?s] [(> ?s 45)]))]'), "SELECT p_partkey AS k FROM part WHERE p_brand = 'Brand#12' UNION SELECT p_partkey FROM part WHERE p_size > 45"),
-    "get_else": (ask("documents", "labels", text='[:find ?id ?q :where [?d :documents/doc_id ?id] (or-join [?d ?q] (and [?l :labels/doc_id ?d] [?l :labels/quality ?q]) (and (not-join [?d] [?l :labels/doc_id ?d]) [(ground -1) ?q]))]'), "SELECT d.doc_id AS id, coalesce(quality, -1)::BIGINT AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    "optional_or_default": (ask("documents", "labels", text='[:find ?id ?q :where [?d :documents/doc_id ?id] (or-join [?d ?q] (and [?l :labels/doc_id ?d] [?l :labels/quality ?q]) (and (not-join [?d] [?l :labels/doc_id ?d]) [(ground -1) ?q]))]'), "SELECT d.doc_id AS id, coalesce(quality, -1)::BIGINT AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "order_limit": (ask("customer", text="[:find ?name ?b :where [?c :customer/name ?name] [?c :customer/acctbal ?b] :order [[?b :desc] [?name :asc]] :offset 5 :limit 20]"), "SELECT c_name AS name, c_acctbal AS b FROM customer ORDER BY c_acctbal DESC, c_name LIMIT 20 OFFSET 5"),
     "after_cursor": (ask("customer", text='[:find ?name ?b :where [?c :customer/name ?name] [?c :customer/acctbal ?b] :order [[?b :desc] [?name :asc]] :after [5000.0 "A"] :limit 20]'), "SELECT c_name AS name, c_acctbal AS b FROM customer WHERE c_acctbal < 5000 OR c_acctbal = 5000 AND c_name > 'A' ORDER BY c_acctbal DESC, c_name LIMIT 20"),
     "rule_nonrec": (ask("customer", "nation", text="[:find ?name :rules [[(rich ?c) [?c :customer/acctbal ?b] [(> ?b 9500)]] [(rich ?c) [?c :customer/mktsegment \"BUILDING\"] [?c :customer/acctbal ?b] [(> ?b 9000)]]] :where (rich ?c) [?c :customer/name ?name]]"), "SELECT DISTINCT c_name AS name FROM customer WHERE c_acctbal > 9500 OR c_mktsegment = 'BUILDING' AND c_acctbal > 9000"),
@@ -108,7 +99,7 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "user_function": (ask("nation", text="[:find ?name ?n :where [?x :nation/name ?name] [(vowels ?name) ?n]]", functions={"vowels": (lambda s: sum(c in "AEIOU" for c in s), "long")}), "SELECT n_name AS name, length(regexp_replace(n_name, '[^AEIOU]', '', 'g'))::BIGINT AS n FROM nation"),
     "cross_type_order": (ask("nation", text='[:find ?name :where [?n :nation/name ?name] [(> ?name 5)] [(!= ?name 5)]]'), "SELECT DISTINCT n_name AS name FROM nation"),
     "star_wide": (ask("lineitem", "orders", "part", text='[:find ?brand ?flag (as (sum ?price) ?total) (as (count ?l) ?n) :with ?l :where [?l :lineitem/partkey ?p] [?l :lineitem/quantity ?q] [(= ?q 10)] [?l :lineitem/returnflag ?flag] [?l :lineitem/linenumber ?price] [?p :part/brand ?brand]]'), "SELECT p_brand AS brand, l_returnflag AS flag, sum(l_linenumber)::BIGINT AS total, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 10 GROUP BY ALL"),
-    "temporal_compare": (ask("orders", text='[:find ?p (as (count ?o) ?n) :where [?o :orders/orderdate ?d] [(< ?d #inst "1995-01-01T00:00:00Z")] [?o :orders/orderpriority ?p]]'), "SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' GROUP BY 1"),
+    "temporal_compare": (ask("orders", text='[:find ?p (as (count ?o) ?n) :where [?o :orders/orderdate ?d] [(< ?d #inst "1996-06-01T00:00:00Z")] [?o :orders/orderpriority ?p]]'), "SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1996-06-01' GROUP BY 1"),
     "history_ops": (_history, "SELECT event_id % 5 <> 0 AS op, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1"),
     "current_view": (_current, _CURRENT.format("")),
     "asof_view": (_as_of, _CURRENT.format(" AND event_id <= 4000")),
@@ -116,8 +107,8 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: q for k, (q, _) in _ALL.items()}
+    return {k: q for k, (q, _) in (_ALL | SURFACES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _ALL.items() if s}
+    return {k: s for k, (_, s) in (_ALL | SURFACES).items() if s}
