@@ -1,8 +1,9 @@
 """BPE encoding and decoding of whole texts (operator 8).
 
 `encode_column` adds the token ids of a text column, `decode_column` turns ids back into text, and
-`round_trip` gives digests of both without moving ids between executors. All are map-only: no shuffle,
-nothing is kept but a bounded cache of text parts per Python worker.
+`round_trip` gives digests of both without moving ids between executors. All are map-only: no shuffle. Pieces of
+text go through the bounded-lookahead transducer (`ByteBPE.transduce`), all new ones of about a megabyte of text at
+once; a cache, bounded in bytes, keeps the ids of short pieces and parts in each Python worker.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text; a special token's string in
 a text is that one token; texts of any length run in windows; other columns, whatever their names, stay.
@@ -21,22 +22,17 @@ from pyspark.sql import types as T
 from .bytebpe import PIECES, ByteBPE, PartCache, words_of
 from .common import each, give_back
 
-#: Pieces that a pass over ids keeps; the columns beside them need the memory.
-IDS_CACHE = 150_000
+#: Bytes of pieces that a pass over ids keeps; the columns beside them need the memory.
+IDS_CACHE = 32 << 20
 
 _CODERS: dict[str, tuple] = {}
 
 
 def coder(path: str) -> tuple[ByteBPE, PartCache, PartCache]:
-    """The encoder of a file with its caches, once per Python process: pieces -> ids, parts -> (count, ",id,id", bytes)."""
+    """The encoder of a file with its caches, once per Python process: pieces -> ids, parts -> (count, ",id,id", bytes).
+    A part is the text behind a space that starts a piece, or, as a tuple, the text at the start of a span."""
     if path not in _CODERS:
-        bpe = ByteBPE(path)
-        pieces = PartCache(lambda piece: bpe.encode_piece(piece.encode()))
-
-        def part(text: str) -> tuple[int, str, bytes]:
-            return packed(bpe, [i for p in PIECES.findall(" " + text) for i in (pieces[p] if len(p) <= 64 else bpe.stream(p.encode()))])
-
-        _CODERS[path] = bpe, pieces, PartCache(part)
+        _CODERS[path] = ByteBPE(path), PartCache(None), PartCache(None)
     return _CODERS[path]
 
 
@@ -51,44 +47,56 @@ def packed(bpe: ByteBPE, ids: list[int]) -> tuple[int, str, bytes]:
     return len(ids), "".join([f",{i}" for i in ids]), b"".join([bpe.token_bytes[i] for i in ids])
 
 
-def fetch(path: str, lists: list[list[str]]) -> None:
-    """Encode, all at once, what the caches lack of some lists of parts."""
-    bpe, pieces, parts = coder(path)
+def encode_pieces(path: str, wanted: set[str], limit: int) -> PartCache:
+    """The cache of pieces, with ids of all wanted ones: those that it lacks go through the transducer, all at once."""
+    bpe, pieces, _ = coder(path)
+    pieces.limit = limit
+    pieces.trim()
+    pieces.loose = {}
+    lack = list(wanted.difference(pieces))
+    for p, ids in zip(lack, bpe.transduce([p.encode() for p in lack])):
+        if len(p) <= pieces.LONGEST:
+            pieces.keep(p, ids, 200 + len(p) + 36 * len(ids))
+        else:
+            pieces.loose[p] = ids
+    return pieces
+
+
+def fetch(path: str, lists: list[list]) -> None:
+    """Encode, all at once, what the cache of parts lacks of some lists of parts."""
+    bpe, _, parts = coder(path)
+    parts.trim()
+    parts.loose = {}
     new = list(set().union(*lists).difference(parts))
-    if len(parts) + len(new) > parts.limit:
-        parts.clear()
-        new = list(set().union(*lists))
-    found = list(map(PIECES.findall, [" " + p for p in new]))
-    lack = list(set().union(*found).difference(pieces))
-    if len(pieces) + len(lack) > pieces.limit:
-        pieces.clear()
-        lack = list(set().union(*found))
-    short = [p for p in lack if len(p) <= 64]  # a long one streams, and isn't kept
-    pieces.update(zip(short, bpe.encode_batch([p.encode() for p in short])))
+    found = [PIECES.findall(p[0] if isinstance(p, tuple) else " " + p) for p in new]
+    pieces = encode_pieces(path, set().union(*found), parts.limit)
     for part, own in zip(new, found):
-        if all([len(p) <= 64 for p in own]):
-            parts[part] = packed(bpe, [i for p in own for i in pieces[p]])
+        value = packed(bpe, [i for p in own for i in pieces[p]])
+        size = len(part) if isinstance(part, str) else len(part[0])
+        if size <= parts.LONGEST:
+            parts.keep(part, value, 300 + size + len(value[1]) + len(value[2]))
+        else:
+            parts.loose[part] = value
+    pieces.loose = {}
 
 
 def text_windows(path: str, text: str) -> list:
-    """A text as special tokens' ids, and lists of parts of which the first has its own flag: (parts, begins a span)."""
+    """A text as special tokens' ids, and lists of parts."""
     out: list = []
     for span in coder(path)[0].spans(text):
-        out += [span] if isinstance(span, int) else [(w, k == 0) for k, w in enumerate(words_of(span))]
+        if isinstance(span, int):
+            out.append(span)
+        else:
+            first, *rest = words_of(span)
+            out += [[(first[0],), *first[1:]], *rest]
     return out
 
 
 def entries(path: str, windows: list):
     """Lists of (count, ",id,id", bytes) that make up a text, window by window."""
-    bpe, pieces, parts = coder(path)
+    bpe, _, parts = coder(path)
     for window in windows:
-        if isinstance(window, int):
-            yield [packed(bpe, [window])]
-        elif window[1]:
-            ids = [i for p in PIECES.findall(window[0][0]) for i in (pieces[p] if len(p) <= 64 else bpe.stream(p.encode()))]
-            yield [packed(bpe, ids), *map(parts.__getitem__, window[0][1:])]
-        else:
-            yield list(map(parts.__getitem__, window[0]))
+        yield [packed(bpe, [window])] if isinstance(window, int) else list(map(parts.__getitem__, window))
 
 
 def by_slices(path: str, texts, limit: int = 1 << 20):
@@ -97,7 +105,7 @@ def by_slices(path: str, texts, limit: int = 1 << 20):
     size = 0
 
     def ready():
-        fetch(path, [w[0][1:] if w[1] else w[0] for ws in held for w in ws if not isinstance(w, int)])
+        fetch(path, [w for ws in held for w in ws if not isinstance(w, int)])
         return iter(held)
 
     for text in texts:
@@ -145,23 +153,17 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def ids_of(path: str, texts: list[str]) -> list[list[int]]:
     """Token ids of some texts; pieces that the cache lacks are encoded together."""
-    bpe, pieces, _ = coder(path)
-    found = [[span if isinstance(span, int) else PIECES.findall(span) for span in bpe.spans(t or "")] for t in texts]
-    lack = [p for p in {p for spans in found for s in spans if not isinstance(s, int) for p in s}.difference(pieces) if len(p) <= 64]
-    if len(pieces) + len(lack) > IDS_CACHE:
-        pieces.clear()
-        lack = [p for p in {p for spans in found for s in spans if not isinstance(s, int) for p in s} if len(p) <= 64]
-    pieces.update(zip(lack, bpe.encode_batch([p.encode() for p in lack])))
+    bpe = coder(path)[0]
+    found = [[[span] if isinstance(span, int) else PIECES.findall(span) for span in bpe.spans(t or "")] for t in texts]
+    pieces = encode_pieces(path, {p for spans in found for s in spans for p in s if not isinstance(p, int)}, IDS_CACHE)
     out = []
     for spans in found:
         ids: list[int] = []
         for s in spans:
-            if isinstance(s, int):
-                ids.append(s)
-            else:
-                for p in s:
-                    ids += pieces[p] if len(p) <= 64 else bpe.stream(p.encode())
+            for p in s:
+                ids += [p] if isinstance(p, int) else pieces[p]
         out.append(ids)
+    pieces.loose = {}
     return out
 
 

@@ -11,9 +11,11 @@ merge of smaller rank still; the longest such falling chain, in bytes, bounds ho
 from __future__ import annotations
 
 import codecs
+import itertools
 import json
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import regex
@@ -25,7 +27,6 @@ _CUT = re.compile(r"(?<!\s) ")
 _RUN = re.compile(r"\s ")
 #: Characters of a text that are cut and looked up at once.
 WINDOW_CHARS = 1 << 18
-_NONE = 1 << 60
 _FREE = (1 << 31) - 1
 
 
@@ -67,7 +68,9 @@ class ByteBPE:
             self.merge[vocab[a] << self.shift | vocab[b]] = len(self.made)
             self.made.append(vocab[a + b])
             left.append((vocab[a], vocab[b]))
+        self.token_sizes = list(map(len, self.token_bytes))
         self.lookahead = self._lookahead(left)
+        self.window = max(1024, 4 * self.lookahead)
         keys = np.fromiter(self.merge, np.int64, len(self.merge))
         order = np.argsort(keys)
         self._keys, self._ranks = np.append(keys[order], 1 << 62), np.append(order, _FREE).astype(np.int32)
@@ -87,56 +90,87 @@ class ByteBPE:
             most = max(most, reach)
         return most + max(map(len, self.token_bytes))
 
-    def merge_all(self, piece: bytes) -> list[int]:
+    def merge_all(self, buffer: bytes) -> list[int]:
         """Apply the merges to a whole buffer, smallest rank first, leftmost first."""
-        ids = [self.byte_ids[b] for b in piece]
-        get, shift, made = self.merge.get, self.shift, self.made
-        while len(ids) > 1:
-            ranks = [get(a << shift | b, _NONE) for a, b in zip(ids, ids[1:])]
-            best = min(ranks)
-            if best == _NONE:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = [made[best]]
-        return ids
-
-    def stream(self, piece: bytes) -> Iterator[int]:
-        """Emit the tokens of one piece as they become stable; memory does not depend on the piece's length."""
-        step = 2 * self.lookahead
-        buffer, read = b"", 0
-        while True:
-            buffer += piece[read : read + step]
-            read += step
-            last = read >= len(piece)
-            done = 0
-            stable = len(buffer) if last else len(buffer) - self.lookahead
-            for t in self.merge_all(buffer):
-                n = len(self.token_bytes[t])
-                if done + n > stable:
-                    break
-                done += n
-                yield t
-            if last and done == len(buffer):
-                return
-            buffer = buffer[done:]
+        ids, get, shift, made = [self.byte_ids[b] for b in buffer], self.merge.get, self.shift, self.made
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := get(ids[i] << shift | ids[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or get(ids[i] << shift | ids[j]) != rank:
+                continue  # one of the two was merged already
+            ids[i], ids[j] = made[rank], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get(ids[i] << shift | ids[k])) is not None:
+                    heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := get(ids[h] << shift | ids[i])) is not None:
+                heappush(heap, (r, h))
+        return [x for x in ids if x >= 0]
+
+    def stable(self, ids: list[int], size: int) -> tuple[int, int]:
+        """(tokens, bytes) at the start of a merged buffer that what follows the buffer can't change."""
+        done, sizes = 0, self.token_sizes
+        for k, t in enumerate(ids):
+            if done + sizes[t] > size - self.lookahead:
+                return k, done
+            done += sizes[t]
+        return len(ids), done
+
+    def stream(self, chunks) -> Iterator[int]:
+        """Emit the tokens of one piece, whose bytes come in chunks, as they become stable: what is held is the lookahead
+        and a chunk, whatever the piece's length."""
+        buffer = b""
+        for chunk in chunks:
+            for k in range(0, len(chunk), self.window):
+                buffer += chunk[k : k + self.window]
+                if len(buffer) >= self.window + self.lookahead:
+                    ids = self.merge_all(buffer)
+                    n, done = self.stable(ids, len(buffer))
+                    yield from ids[:n]
+                    buffer = buffer[done:]
+        yield from self.merge_all(buffer)
+
+    def transduce(self, pieces: list[bytes]) -> list[list[int]]:
+        """The transducer over many pieces at once. Each piece has a buffer of `window` bytes at most; in a round all
+        buffers are filled and merged, and each emits and drops its stable tokens (at its piece's end, all)."""
+        out: list[list[int]] = [[] for _ in pieces]
+        open_ = [(i, 0) for i in range(len(pieces))]
+        while open_:
+            buffers = [pieces[i][at : at + self.window] for i, at in open_]
+            still = []
+            for (i, at), buffer, ids in zip(open_, buffers, self._merged(buffers)):
+                if at + len(buffer) == len(pieces[i]):
+                    out[i] += ids
+                else:
+                    n, done = self.stable(ids, len(buffer))
+                    out[i] += ids[:n]
+                    still.append((i, at + done))
+            open_ = still
+        return out
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         pair = left.astype(np.int64) << self.shift | right
         at = np.searchsorted(self._keys, pair)
         return np.where(self._keys[at] == pair, self._ranks[at], _FREE)
 
-    def encode_batch(self, pieces: list[bytes]) -> list[list[int]]:
-        """Many pieces at once: those that end within 64 bytes lie in the rows of a matrix, and each round applies
-        every row's merge of smallest rank, leftmost first; longer ones stream."""
-        out: list[list[int]] = [[] for _ in pieces]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    def _merged(self, buffers: list[bytes]) -> list[list[int]]:
+        """merge_all of many buffers: those of 64 bytes at most lie in the rows of a matrix, and each round applies every
+        row's merge of smallest rank, leftmost first."""
+        out: list[list[int]] = [[] for _ in buffers]
+        sizes = np.fromiter(map(len, buffers), np.int64, len(buffers))
         for i in np.flatnonzero(sizes > 64).tolist():
-            out[i] = list(self.stream(pieces[i]))
+            out[i] = self.merge_all(buffers[i])
         for low, width in ((0, 8), (8, 12), (12, 20), (20, 64)):
             rows = np.flatnonzero((sizes > low) & (sizes <= width))
             for k in range(0, len(rows), 4096):
                 part = rows[k : k + 4096]
-                for i, ids in zip(part.tolist(), self._merge_rows([pieces[i] for i in part.tolist()], sizes[part], width)):
+                for i, ids in zip(part.tolist(), self._merge_rows([buffers[i] for i in part.tolist()], sizes[part], width)):
                     out[i] = ids
         return out
 
@@ -172,9 +206,6 @@ class ByteBPE:
             rank[prior, at[prior] - 1] = self._rank(ids[prior, at[prior] - 1], new[prior])
         return done
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        return self.merge_all(piece) if len(piece) <= 64 else list(self.stream(piece))
-
     def spans(self, text: str) -> Iterator[str | int]:
         """Cut a text into parts that are encoded on their own; a special token comes as its id."""
         if self._special_cut is None or not any(s in text for s in self.special):
@@ -192,8 +223,7 @@ class ByteBPE:
             if isinstance(part, int):
                 out.append(part)
             else:
-                for piece in PIECES.findall(part):
-                    out += self.encode_piece(piece.encode())
+                out += itertools.chain.from_iterable(self.transduce([p.encode() for p in PIECES.findall(part)]))
         return out
 
     def decoder(self) -> Decoder:
@@ -240,18 +270,34 @@ def words_of(text: str) -> list[list[str]]:
 
 
 class PartCache(dict):
-    """Text part -> what `make` gives for it; emptied when `limit` parts are held, so its memory is bounded."""
+    """Text part -> the bytes that `make` gives for it. Parts of more than LONGEST characters aren't kept; once what is kept has
+    about `limit` bytes, it is dropped."""
 
-    def __init__(self, make, limit: int = 400_000):
-        super().__init__()
-        self.make, self.limit = make, limit
+    LONGEST = 64
 
-    def __missing__(self, part: str):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[part] = self.make(part)
+    def __init__(self, make, limit: int = 96 << 20):
+        super().__init__()
+        self.make, self.limit, self.size = make, limit, 0
+        self.loose: dict = {}  # long parts of the texts at hand
+
+    def __missing__(self, part):
+        if part in self.loose:
+            return self.loose[part]
+        value = self.make(part)
+        if len(part) <= self.LONGEST:
+            self.trim()
+            self.keep(part, value, 190 + len(part) + len(value))
         return value
 
+    def keep(self, part, value, cost: int) -> None:
+        self[part] = value
+        self.size += cost
+
+    def trim(self) -> None:
+        """Drop all if the limit is reached."""
+        if self.size >= self.limit:
+            self.clear()
 
-def ids_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, np.uint32).tobytes()
+    def clear(self) -> None:
+        super().clear()
+        self.loose, self.size = {}, 0

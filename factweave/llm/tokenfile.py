@@ -31,7 +31,8 @@ _MAGIC = b"FWTOKENS"
 #: Byte counts of the four tokens of each control byte.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 SHARD_IDS = 1 << 20
-MAX_BUCKETS = 20_000
+#: Ranges of ids that a table is dealt into at most: at 2,048 rows each, 537 million rows; ranges are longer beyond.
+MAX_BUCKETS = 1 << 18
 #: Marks that may stand behind a word; each is neither letter, digit nor white space.
 MARKS = ".,;:!?*$&#%()-_\"'"
 
@@ -92,7 +93,7 @@ class Library:
     `parts` holds the ids, as bytes, of text parts that start with a space; the pieces of a part go to the library's model.
     A tokenizer of another kind than plain byte-level BPE (`plain` is false) encodes each text whole."""
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 192 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # an executor's cores already have a Python worker each
         from tokenizers import Tokenizer, models, pre_tokenizers
 
