@@ -5,8 +5,9 @@ digits folded), put through a linear softmax; embeddings and softmax are trained
 gradient descent in numpy. As averaging is linear, prediction needs one row of class scores per trigram
 bucket (embedding times weights), so a whole text is one gather and one sum.
 
-Training takes at most SAMPLE documents in all, dealt evenly over the languages by a hash of their text;
-their trigram counts, not their texts, come to the driver. A fifth of them is held back: a temperature makes
+Training takes SAMPLE labelled documents in all on average and never more than twice as many, dealt evenly over the
+LANGS most frequent languages (no other is learned) by a hash of their id and text, so copies of a text are drawn one
+by one; their trigram counts, not their texts, come to the driver. A fifth of them is held back: a temperature makes
 the probabilities honest there, and a text is rejected if its probability or the share of its trigrams that
 the training had seen is below nearly all of that held-back fifth (REJECT of it).
 
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from .common import LOWER, byte_slices, give_back, utf8_parts
 
 BUCKETS, DIM = 1 << 15, 16
-SAMPLE = 4000
+SAMPLE, LANGS = 4000, 1000
 #: Share of held-back in-language texts that each of the two rejection rules may lose.
 REJECT = 0.001
 _FOLD = LOWER.copy()
@@ -112,21 +113,22 @@ def features(sample: DataFrame, sample_col: str = "text") -> DataFrame:
     return sample.select("lang", sample_col).mapInArrow(run, "lang string, buckets array<int>, counts array<float>")
 
 
-def training_rows(docs: DataFrame, text_col: str, lang_col: str, total: int = SAMPLE) -> DataFrame:
-    """(lang, text) of at most about `total` rows, evenly over languages, chosen by a hash of the text alone."""
-    rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+def training_rows(docs: DataFrame, text_col: str, lang_col: str, total: int = SAMPLE, id_col: str = "doc_id") -> DataFrame:
+    """(lang, text) of about `total` rows, evenly over languages."""
+    rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"), docs[id_col].alias("id")).where("lang is not null and text is not null")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
     if not counts:
         return rows.limit(0)
     each = max(1, total // len(counts))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
-    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0 < share[F.col("lang")])
+    return rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_003)) / 1_000_003.0 < share[F.col("lang")]).select("lang", "text")
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", total: int = SAMPLE, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> Model:
-    """Train on labelled rows (at most about `total` of them)."""
-    rows = features(training_rows(docs, text_col, lang_col, total)).collect()
-    rows = sorted(((r["lang"], np.array(r["buckets"], np.int64), np.array(r["counts"], np.float64)) for r in rows if r["buckets"]), key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist()))
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", total: int = SAMPLE, id_col: str = "doc_id", epochs: int = 12, rate: float = 0.5, seed: int = 7) -> Model:
+    """Train on labelled rows (about `total` of them)."""
+    rows = features(training_rows(docs, text_col, lang_col, total, id_col)).limit(2 * total).toArrow()
+    rows = ((lang.as_py(), b.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float64)) for lang, b, c in zip(rows["lang"], rows["buckets"], rows["counts"]))
+    rows = sorted((r for r in rows if len(r[1])), key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist()))
     langs = sorted({r[0] for r in rows})
     if not rows:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros(BUCKETS, bool), 1.0, 0.0)
