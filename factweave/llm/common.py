@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir, written
+
 #: Bytes of text handled at once inside a Python worker; bounds its memory whatever the batch size.
 SLICE_BYTES = 1 << 20
 
@@ -19,31 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only for local masters."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d.rstrip("/")
-    ctx = spark.sparkContext
-    found = ctx._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get().rstrip("/")
-    if not ctx.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    ctx.setCheckpointDir(tempfile.mkdtemp(prefix="factweave-"))
-    return ctx._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, computed once, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(col, n: int):
     """crc32 of the id's decimal text, modulo n (the split rule of the contracts); a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
@@ -73,6 +48,21 @@ def give_back() -> None:
         pass  # not the GNU C library
 
 
+def one_thread() -> None:
+    """Keep numpy's matrix products in this thread: an executor's cores have a Python worker each, and threads that wait
+    for one another's small products would burn more time than the products take."""
+    try:
+        with open("/proc/self/maps") as f:
+            found = {x.split()[-1] for x in f if "openblas" in x}
+    except OSError:
+        return  # not Linux
+    for path in found:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def each(column):
     """The values of an Arrow column one by one, so that a batch of long texts isn't held twice."""
     return (x.as_py() for x in column)
@@ -162,3 +152,6 @@ def span_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         v *= _MIX2
     first = np.cumsum(length) - length
     return mix64(np.add.reduceat(v, first) ^ (length.astype(np.uint64) << np.uint64(32)))
+
+
+__all__ = ["LOWER", "SLICE_BYTES", "WORD_BYTE", "byte_slices", "crc_mod", "each", "give_back", "mix64", "one_thread", "read_table", "shared_dir", "span_hashes", "utf8_parts", "word_hashes", "written"]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, each, give_back, utf8_parts, word_hashes, written
+from .common import byte_slices, each, give_back, one_thread, utf8_parts, word_hashes, written
 
 CLASSES = 32  # at least
 VOCAB, HASHED = 800, 223  # own to shared ids; with the end token 32 * 32 ids
@@ -220,6 +220,7 @@ def _round(docs: DataFrame, model: Model, text_col: str, turn: int, rounds: int)
     shared = docs.sparkSession.sparkContext.broadcast(model.sent(False))
 
     def train(batches):
+        one_thread()
         own = replace(shared.value, params=[p.copy() for p in shared.value.params])
         done, held = 0, []
         salt = 0
@@ -309,6 +310,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     join = model.rare is not None
 
     def run(batches):
+        one_thread()
         m = shared.value
         for b in batches:
             data, offs = utf8_parts(b.column(at))
