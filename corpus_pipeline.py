@@ -1,7 +1,15 @@
 """From raw documents to clean, decoded training text: five stages, each written as Parquet and read again.
 
 Every stage works on all rows that its predecessor kept. Stages 1 to 4 return the columns of documents; the last
-adds token ids and replaces the text by what the ids decode to.
+adds token ids (token_ids, n_tokens) and what they decode to (decoded), in place of columns of those names.
+
+Defined cases. Null and empty texts, and texts without a letter, are rejected by the first stage; a stage of its own
+takes them too: null and empty texts are near duplicates of one another, stay as they are in suffix-array dedup (an
+empty one goes there), hold no benchmark passage, and have no tokens. Rows without an id are never near duplicates and
+never contaminated; rows that repeat an id are one document in near-duplicate removal and decontamination, which keep
+or drop them together. Ties: of a group of near duplicates the smallest id stays; of equal passages, that of the
+smaller id. An empty table gives an empty table. Other columns, whatever their names, pass through. Texts of any length
+are taken whole.
 """
 
 from __future__ import annotations
@@ -24,8 +32,9 @@ SHINGLE, RADIUS, LEAST = 5, 4, 0.8
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that language identification rejects."""
     model = langid.fit(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
-    found = langid.identify(docs, model, prefix="__")
-    return found.where(~F.col("__rejected")).select(docs.columns)
+    prefix = "_" * (1 + max(map(len, docs.columns)))  # no column begins like this
+    found = langid.identify(docs, model, prefix=prefix)
+    return found.where(~F.col(f"{prefix}rejected")).select(*[found[f"`{c}`"] for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,11 +75,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each is written to the shared folder and read again."""
+    """Apply all stages to documents; each is written to the shared folder and read again, and goes when the next is
+    there (the last when the session ends)."""
     docs = read_table(spark, sf_dir, "documents")
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(at)
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{at}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = jvm.org.apache.hadoop.fs.Path(at, f"{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path.toString())
+        docs = spark.read.parquet(path.toString())
+        if before is not None:
+            files.delete(before, True)
+        before = path
     return docs
