@@ -38,12 +38,12 @@ VOCAB, HASHED = 800, 223  # own to shared ids; with the end token 32 * 32 ids
 GROWTH = 4
 COMMON = 1 << 18
 WINDOW, DIM = 2, 16
-ROUNDS, RATE, BATCH = 2, 0.4, 4096
+ROUNDS, RATE, BATCH = 2, 0.8, 8192
 CHUNK = 4096
 
 
 def _sizes(classes: int) -> tuple[tuple[int, ...], ...]:
-    return ((2 * WINDOW, classes * classes, DIM), (DIM,), (DIM, classes), (classes,), (classes, DIM, classes), (classes, classes))
+    return ((2 * WINDOW, classes * classes, DIM), (DIM,), (DIM + 1, classes), (classes, DIM + 1, classes))
 
 
 def classes_for(different: int) -> int:
@@ -69,8 +69,12 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def initial(classes: int = CLASSES, seed: int = 3) -> list[np.ndarray]:
+    """Tables of the context places, their bias, and the weights of classes and of tokens in each class; the last row of
+    weights is their bias."""
     rng = np.random.default_rng(seed)
-    return [(rng.normal(0, 0.1, s) if len(s) > 1 and s != (classes, classes) else np.zeros(s)).astype(np.float32) for s in _sizes(classes)]
+    tables, bias, wc, wm = ((rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for s in _sizes(classes))
+    wc[-1] = wm[:, -1] = 0
+    return [tables, bias, wc, wm]
 
 
 @dataclass
@@ -87,6 +91,18 @@ class Model:
     def classes(self) -> int:
         return self.params[2].shape[1]
 
+    def hidden(self, around: np.ndarray) -> np.ndarray:
+        """The hidden layer, and a column of ones for the biases."""
+        tables, bias = self.params[:2]
+        z = tables[0][around[0]]
+        for k in range(1, 2 * WINDOW):
+            z += tables[k][around[k]]
+        z += bias
+        out = np.empty((len(z), DIM + 1), np.float32)
+        np.tanh(z, out=out[:, :DIM])
+        out[:, DIM] = 1
+        return out
+
     def sent(self, scoring: bool) -> Model:
         """What tasks need."""
         none = np.zeros(0, np.uint64)
@@ -126,48 +142,44 @@ class Model:
         return out
 
     def log_probability(self, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
-        tables, bias, wc, bc, wm, bm = self.params
-        hidden = tables[0][around[0]]
-        for k in range(1, 2 * WINDOW):
-            hidden = hidden + tables[k][around[k]]
-        hidden = np.tanh(hidden + bias)
+        wc, wm = self.params[2:]
         classes = self.classes
-        n, kind, own = np.arange(len(ids)), ids % classes, ids // classes
-        out = _normalised(hidden @ wc + bc, n, kind)
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(classes + 1))
+        order = np.argsort(ids % classes, kind="stable")
+        kind, own, hidden, n = ids[order] % classes, ids[order] // classes, self.hidden(around[:, order]), np.arange(len(ids))
+        found = _normalised(hidden @ wc, n, kind)
+        cuts = np.searchsorted(kind, np.arange(classes + 1)).tolist()
         for c in range(classes):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                out[rows] += _normalised(hidden[rows] @ wm[c] + bm[c], n[: len(rows)], own[rows])
+            i, j = cuts[c], cuts[c + 1]
+            if i < j:
+                found[i:j] += _normalised(hidden[i:j] @ wm[c], n[: j - i], own[i:j])
+        out = np.empty(len(ids))
+        out[order] = found
         return out
 
     def train_step(self, ids: np.ndarray, around: np.ndarray, rate: float) -> None:
         """One step of gradient descent on a minibatch, in place."""
-        tables, bias, wc, bc, wm, bm = self.params
-        hidden = np.tanh(sum(tables[k][around[k]] for k in range(2 * WINDOW)) + bias)
+        tables, bias, wc, wm = self.params
         classes = self.classes
         order = np.argsort(ids % classes, kind="stable")
-        around, hidden, ids = around[:, order], hidden[order], ids[order]
-        n, kind, own, size = np.arange(len(ids)), ids % classes, ids // classes, np.float32(len(ids))
-        g = _softmax(hidden @ wc + bc)
+        around, ids = around[:, order], ids[order]
+        hidden, n, kind, own, size = self.hidden(around), np.arange(len(ids)), ids % classes, ids // classes, np.float32(len(ids))
+        step, ones = 8 * np.float32(rate) / size, np.ones(classes, np.float32)
+        g = _softmax(hidden @ wc, ones)
         g[n, kind] -= 1
         back = g @ wc.T
         cuts = np.searchsorted(kind, np.arange(classes + 1)).tolist()
-        step = np.float32(rate) / size
         for c in range(classes):
             i, j = cuts[c], cuts[c + 1]
             if i < j:
                 h = hidden[i:j]
-                e = _softmax(h @ wm[c] + bm[c])
+                e = _softmax(h @ wm[c], ones)
                 e[n[: j - i], own[i:j]] -= 1
                 back[i:j] += e @ wm[c].T
-                wm[c] -= 8 * step * (h.T @ e)
-                bm[c] -= 8 * step * e.sum(0)
-        wc -= 8 * step * (hidden.T @ g)
-        bc -= 8 * step * g.sum(0)
-        back *= 1 - hidden * hidden
-        bias -= 8 * step * back.sum(0)
+                wm[c] -= step * (h.T @ e)
+        wc -= step * (hidden.T @ g)
+        back = back[:, :DIM] * (1 - hidden[:, :DIM] ** 2)
+        bias -= step * back.sum(0)
+        columns = back.T.astype(np.float64)
         place = np.zeros(classes * classes, np.int64)
         for k in range(2 * WINDOW):
             # rows of a table are met unevenly: scale by the root of how often, so rare contexts learn too
@@ -177,14 +189,15 @@ class Model:
             at = place[around[k]]
             move = np.empty((len(met), DIM), np.float32)
             for d in range(DIM):
-                move[:, d] = np.bincount(at, back[:, d], len(met))
+                move[:, d] = np.bincount(at, columns[d], len(met))
             tables[k][met] -= np.float32(rate) * move / np.sqrt(times[met] * size)[:, None].astype(np.float32)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+def _softmax(z: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Probabilities of each row, for training: outputs beyond 60 count as 60."""
+    np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= (z @ ones)[:, None]
     return z
 
 
@@ -192,7 +205,8 @@ def _normalised(z: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log-probability of one output a row."""
     z -= z.max(1, keepdims=True)
     own = z[n, at]
-    return own - np.log(np.exp(z, out=z).sum(1))
+    np.exp(z, out=z)
+    return own - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 def _flat(params: list[np.ndarray]) -> np.ndarray:
@@ -210,7 +224,8 @@ def _unflat(flat: np.ndarray, classes: int) -> list[np.ndarray]:
 
 def turned(row: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     """The positions of a turn: every one belongs to one turn. Documents start at different turns."""
-    first = np.searchsorted(row, row)  # where the row's document starts
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    first = np.repeat(starts, np.diff(np.append(starts, len(row))))  # where the row's document starts
     return np.flatnonzero((np.arange(len(row)) - first + row + turn) % rounds == 0)
 
 
