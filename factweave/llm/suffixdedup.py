@@ -12,9 +12,13 @@ grams (its anchor), which depends on its content alone. The consecutive strings
     of Q-byte grams are refined by sorting on the bucket pointers of later offsets, and refined pointers are
     used for the next, twice as deep refinement, until buckets agree in LENGTH bytes. All but the first string
     of a bucket are repeats. Anchors with more than HOT different spans are dealt out again by the hash of each
-    string, so no group of any size must fit in memory;
+    string, of which a task sends the first of its own only, so no group of any size must fit in memory;
  3. the repeats' ranges are joined to the documents by id.
 
+Anchors that are met very often (`common_anchors`, found in every SEEN-th document) would bring their spans to one task.
+Their spans are dealt out by anchor and span hash instead, so equal ones still meet, and are counted by anchor
+afterwards, combined before the shuffle. Which anchors count as common changes no result.
+
 Defined cases: null texts are empty; texts under LENGTH bytes keep all; overlapping repeats count; rows that are
 equal in id and text are one document (none repeats the other); rows of equal id and different text are
 ordered by a hash of the text; null ids come first; other columns stay in `deduplicate`.
@@ -35,6 +39,8 @@ from .common import byte_slices, each, give_back, mix64, utf8_parts, written
 
 LENGTH, K, Q = 100, 24, 8
 HOT = 20_000
+#: One document in SEEN is looked at for common anchors; they have OFTEN spans there or more, the COMMON commonest.
+SEEN, OFTEN, COMMON = 64, 16, 20_000
 #: Bytes of text whose spans are taken at once, and of strings in one suffix array: a worker holds some 15 words of 8
 #: bytes for each.
 SLICE = 1 << 18
@@ -205,9 +211,9 @@ def _emit_spans(batches):
     give_back()
 
 
-def _compare_spans(batches):
+def _compare_spans(batches, common: np.ndarray):
     """Of spans sorted by (akey, skey, doc, tie, pos): akey 0 and a range's length for a repeat; for the first of
-    each of several different spans of an anchor, the span itself."""
+    each of several different spans of an anchor (of any number, of a common anchor), the span itself."""
     gc.disable()
     last = None  # the row before: (akey, skey, doc, tie, pos, n, is a first span, was sent on)
     names = "akey bigint, doc bigint, tie bigint, pos bigint, n bigint"
@@ -234,7 +240,7 @@ def _compare_spans(batches):
         fa = a[firsts]
         prior = np.concatenate([[False], fa[1:] == fa[:-1]])
         after = np.concatenate([fa[1:] == fa[:-1], [False]])
-        several = prior | after
+        several = prior | after | np.isin(fa, common)
         if off:
             several[0] = after[0] and not last[1]  # the row before was sent on with an earlier batch, or not yet
             if last[1] and len(several) > 1 and fa[1] == fa[0]:
@@ -251,6 +257,7 @@ def _resolve(batches):
     """Repeats' ranges among contexts sorted by akey: one suffix array for each BATCH bytes of whole groups."""
     gc.disable()
     held: list[tuple] = []
+    alone: list[tuple] = []
     size = 0
 
     def run(rows):
@@ -274,6 +281,9 @@ def _resolve(batches):
 
     for b in batches:
         for r in zip(*(each(c) for c in b.columns)):
+            if r[4] < 0:  # a string that repeats another of its task's
+                alone.append((r[1], r[2], r[3], -r[4]))
+                continue
             if held and r[0] != held[-1][0] and size >= BATCH:
                 yield from run(held)
                 held, size = [], 0
@@ -282,25 +292,46 @@ def _resolve(batches):
                 size = sum(len(x[5]) for x in held)
             held.append(r)
             size += len(r[5])
+        if alone:
+            yield _batch(_RANGE, *np.array(alone, np.int64).T)
+            alone = []
     if held:
         yield from run(held)
     held = []
     give_back()
 
 
+def common_anchors(docs: DataFrame) -> list[int]:
+    """Keys of the anchors with very many spans, COMMON at most."""
+    some = docs.where(F.pmod(F.xxhash64("doc", "tie"), F.lit(SEEN)) == 0).select("doc", "tie", "text").mapInArrow(_emit_spans, _SPAN).where("n > 0")
+    often = some.groupBy("akey").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count")).limit(COMMON)
+    return sorted(r[0] for r in often.select("akey").collect())
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, tie, pos, n): byte ranges to remove, of docs (doc, tie, text); ranges may overlap."""
+    often = common_anchors(docs)
+    common, is_common = np.array(often, np.int64), F.col("akey").isin(often)
     spans = docs.select("doc", "tie", "text").mapInArrow(_emit_spans, _SPAN)
-    found = spans.repartition("akey").sortWithinPartitions("akey", "skey", "doc", "tie", "pos")
-    found = written(found.mapInArrow(_compare_spans, "akey bigint, doc bigint, tie bigint, pos bigint, n bigint"), "spans")
+    deal = F.when(is_common, F.xxhash64("akey", "skey")).otherwise(F.col("akey")) if often else F.col("akey")
+    found = spans.repartition(deal).sortWithinPartitions("akey", "skey", "doc", "tie", "pos")
+    found = written(found.mapInArrow(lambda batches: _compare_spans(batches, common), "akey bigint, doc bigint, tie bigint, pos bigint, n bigint"), "spans")
     known, rims = found.where("akey = 0").drop("akey"), found.where("akey <> 0")
-    hot = rims.groupBy("akey").count().where(F.col("count") > HOT).select(F.col("akey").alias("h"))
-    asked = rims.join(hot, F.col("akey") == F.col("h"), "left").groupBy("doc", "tie").agg(F.collect_list(F.struct("akey", "pos", "n", F.col("h").isNotNull().alias("hot"))).alias("asked"))
+    rest = rims.where(~is_common) if often else rims
+    hot = rest.groupBy("akey").count().where(F.col("count") > HOT).select(F.col("akey").alias("h"))
+    ask = rest.join(hot, F.col("akey") == F.col("h"), "left").select("akey", "doc", "tie", "pos", "n", F.col("h").isNotNull().alias("hot"))
+    if often:
+        mine = rims.where(is_common)
+        sizes = {r[0]: r[1] for r in mine.groupBy("akey").count().collect()}  # COMMON rows at most
+        alone, many = ([a for a, n in sizes.items() if test(n)] for test in (lambda n: n == 1, lambda n: n > HOT))
+        ask = ask.unionByName(mine.where(~F.col("akey").isin(alone)).withColumn("hot", F.col("akey").isin(many)))
+    asked = ask.groupBy("doc", "tie").agg(F.collect_list(F.struct("akey", "pos", "n", "hot")).alias("asked"))
 
     def contexts(batches):
         gc.disable()
         for b in batches:
             out: list[tuple] = []
+            strings: dict[bytes, tuple] = {}  # string -> where this batch has it first
             size = 0
             for doc, tie, text, asks in zip(*(each(c) for c in b.columns)):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -308,18 +339,24 @@ def repeats(docs: DataFrame) -> DataFrame:
                     own = raw[q["pos"] : q["pos"] + q["n"] - 1 + LENGTH]
                     if q["hot"]:
                         for k in range(q["n"]):
-                            s = own[k : k + LENGTH]
-                            out.append((int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), doc, tie, q["pos"] + k, 1, s))
+                            s, here = own[k : k + LENGTH], (doc, tie, q["pos"] + k)
+                            first = strings.setdefault(s, here)
+                            if first != here:
+                                strings[s], again = min(first, here), max(first, here)
+                                out.append(((again[2] * 31 + again[0]) % (1 << 62), *again, -LENGTH, b""))
                     else:
                         out.append((q["akey"], doc, tie, q["pos"], q["n"], own))
-                    size += len(own)
+                    size += len(own) * (LENGTH if q["hot"] else 1)
                 if size > BATCH:
-                    yield pack(out)
-                    out, size = [], 0
-            if out:
-                yield pack(out)
+                    yield pack(out + dealt(strings))
+                    out, strings, size = [], {}, 0
+            if out or strings:
+                yield pack(out + dealt(strings))
         give_back()
 
+    def dealt(strings):
+        return [(int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), *at, 1, s) for s, at in strings.items()]
+
     def pack(rows):
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["akey", "doc", "tie", "pos", "n", "bytes"])
