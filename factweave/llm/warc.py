@@ -2,13 +2,14 @@
 
 Records are grouped into independent Zstandard frames; a bundle is a run of frames closed by a skippable frame
 with the seek table (compressed and plain size of every frame), so a reader decompresses one frame to reach one
-record. An index maps record ids to (bundle, frame, offset in the frame, length). Bundles are rows of a Parquet
-table in the shared folder: Spark commits the write, and a lost task only writes its bundles again;
-`save_bundle` stores one as an ordinary .warc.zst file.
+record. An index maps record ids to (bundle, frame, offset in the frame, length); `read_archives` finds every record by
+its entry there. Bundles are rows of a Parquet table in the shared folder: Spark commits the write, and a lost task
+only writes its bundles again; `save_bundle` stores one as an ordinary .warc.zst file.
 
 Records of equal payloads of at least `min_revisit` bytes: the one with the smallest id is a response, the
 others are revisit records without payload that name it. Who is first is found on digests alone (combined
-before the shuffle, so a payload shared by very many records costs one row a task); payloads move once.
+before the shuffle, so a payload shared by very many records costs one row a task); payloads move once, and those of
+one digest are dealt to SALTS tasks, to which its one row is copied.
 
 Defined cases: a null html is the empty payload; null ids sort behind all others and are written without one;
 rows with equal ids and equal payloads are alike, all responses or all revisits; an empty table gives no bundles;
@@ -18,6 +19,7 @@ payloads of any length are whole in one frame; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 import uuid
@@ -33,6 +35,7 @@ from .common import each, written
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 16 << 20
 MIN_REVISIT = 100
+SALTS = 32
 
 
 def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, size: int, refers_to) -> bytes:
@@ -125,14 +128,13 @@ def save_bundle(bundle: bytes, path: str) -> None:
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """Write all pages as WARC bundles; returns the table (bundle, payload, index) in the shared folder.
-
-    The first id of every digest that is met twice is joined to the records; a hot digest is dealt anew by the
-    optimizer, for the other side has one row of it."""
+    """Write all pages as WARC bundles; returns the table (bundle, payload, index) in the shared folder."""
     body = pages.select(pages[id_col].cast("bigint").alias("id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).cast("binary").alias("p")).withColumn("digest", F.sha2("p", 256))
     first = body.where(F.length("p") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("c")).where((F.col("c") > 1) & F.col("first").isNotNull()).select(F.col("digest").alias("d"), "first")
     last = F.lit((1 << 63) - 1)
-    rows = body.join(first, body["digest"] == first["d"], "left").select("id", "url", "p", "digest", F.when(F.col("first") < F.coalesce("id", last), F.col("first")).alias("refers"))
+    first = first.select("d", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("id", "url"), F.lit(SALTS))
+    rows = body.join(first, (body["digest"] == first["d"]) & (salt == first["salt"]), "left").select("id", "url", "p", "digest", F.when(F.col("first") < F.coalesce("id", last), F.col("first")).alias("refers"))
 
     def write(batches):
         out, n = BundleWriter(), 0
@@ -160,17 +162,20 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def read_archives(bundles: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, from the bundles alone;
-    the digest and size of a response are taken of its block, and must equal its headers."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, from the bundles alone. Each
+    record is found by its index entry: the frame by the seek table, decompressed once for all its entries, and the
+    record by its offset there. The digest and size of a response are taken of its block, and must equal its headers."""
 
     def read(batches):
         for b in batches:
-            for raw in each(b.column(0)):
+            for raw, index in zip(each(b.column(0)), each(b.column(1))):
                 table = seek_table(raw)
-                for k in range(len(table)):
-                    data, at, rows = frame_of(raw, table, k), 0, []
-                    while at < len(data):
-                        head, block, at = parse(data, at)
+                for k, entries in itertools.groupby(sorted(index, key=lambda x: (x["frame"], x["offset"])), key=lambda x: x["frame"]):
+                    data, rows = frame_of(raw, table, k), []
+                    for entry in entries:
+                        head, block, end = parse(data, entry["offset"])
+                        if end != entry["offset"] + entry["length"] or head.get("X-Page-Id") != (None if entry["id"] is None else str(entry["id"])):
+                            raise ValueError(f"the index doesn't fit the record of page {entry['id']}")
                         digest, size = head["WARC-Payload-Digest"].removeprefix("sha256:"), int(head["X-Payload-Length"])
                         if head["WARC-Type"] == "response" and (hashlib.sha256(block).hexdigest(), len(block)) != (digest, size):
                             raise ValueError(f"damaged record of page {head.get('X-Page-Id')}")
@@ -179,7 +184,7 @@ def read_archives(bundles: DataFrame) -> DataFrame:
                     cols = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return bundles.select("payload").mapInArrow(read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return bundles.select("payload", "index").mapInArrow(read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def record_index(bundles: DataFrame) -> DataFrame:
