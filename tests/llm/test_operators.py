@@ -210,10 +210,12 @@ def _cut(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffix_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,often", [(20_000, 16), (2, 16), (20_000, 1), (3, 2)])
+def test_suffix_dedup(spark, monkeypatch, hot, often):
     monkeypatch.setattr(suffixdedup, "HOT", hot)
-    rng = random.Random(hot)
+    monkeypatch.setattr(suffixdedup, "SEEN", 64 if often == 16 else 1)  # else many anchors are common
+    monkeypatch.setattr(suffixdedup, "OFTEN", often)
+    rng = random.Random(hot + often)
     base = [words(rng, 60) for _ in range(3)]
     rows = [(300, None), (301, ""), (302, "a" * 400), (303, "ab" * 160), (304, "a" * 120), (305, "é" * 90)]
     for i in range(70):
@@ -353,6 +355,12 @@ def test_warc(spark):
     for r in warc.record_index(table).collect():
         head, block = warc.fetch_record(bundles[r["bundle"]], r["frame"], r["offset"])
         assert head.get("X-Page-Id") == (None if r["id"] is None else str(r["id"]))
+    # the entries lead to the records, whatever their order and whatever lies between them
+    turned = table.selectExpr("bundle", "payload", "reverse(filter(index, i -> i.id % 2 = 0)) index")
+    assert sorted(r["page_id"] for r in warc.read_archives(turned).collect()) == [0, 2, 4, 6]
+    wrong = table.selectExpr("payload", "transform(index, i -> named_struct('id', i.id + 1, 'frame', i.frame, 'offset', i.offset, 'length', i.length)) index")
+    with pytest.raises(Exception, match="doesn't fit"):
+        warc.read_archives(wrong).collect()
     w = warc.BundleWriter(frame_bytes=500)
     for k in range(20):
         w.add(k, warc.record("response", k, "u", b"z" * 100, "d", 100, None))
@@ -361,6 +369,18 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_warc_of_hot_and_long_payloads(spark):
+    import random as plain
+
+    noise = "".join(plain.Random(5).choices("abcdefghijklmnop <>/", k=3_000_000))  # beyond a frame
+    rows = [(k, "u%d" % k, "<html>" + "same " * 40) for k in range(300)] + [(1000, None, noise), (1001, "v", noise), (1002, "w", noise[:-1])]
+    table = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    got = {r["page_id"]: r for r in warc.read_archives(table).collect()}
+    assert len(got) == len(rows) and got[0]["record_type"] == "response" and all(got[k]["refers_to"] == 0 for k in range(1, 300))
+    assert got[1001]["refers_to"] == 1000 and got[1002]["record_type"] == "response"
+    assert all(got[i]["payload_digest"] == hashlib.sha256(t.encode()).hexdigest() for i, _, t in rows)
+
+
 def test_language(spark, odd, empty):
     rng = random.Random(1)
     make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))
@@ -447,7 +467,7 @@ def test_pseudo_likelihood_by_brute_force(spark, odd):
     rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 25)))) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     model = pseudolm.fit(df)
-    tables, bias, wc, bc, wm, bm = (p.astype(float) for p in model.params)
+    tables, bias, wc, wm = (p.astype(float) for p in model.params)
     times = {}
     for _, t in rows:
         for w in t.split():
@@ -461,13 +481,33 @@ def test_pseudo_likelihood_by_brute_force(spark, odd):
             hidden = bias.copy()
             for place, d in enumerate((-2, -1, 1, 2)):
                 hidden += tables[place][ids[ws[k + d]] if 0 <= k + d < len(ws) else 0]
-            hidden = np.tanh(hidden)
+            hidden = np.append(np.tanh(hidden), 1)
             c, own = ids[w] % model.classes, ids[w] // model.classes
-            for z, at in ((hidden @ wc + bc, c), (hidden @ wm[c] + bm[c], own)):
+            for z, at in ((hidden @ wc, c), (hidden @ wm[c], own)):
                 total += z[at] - np.log(np.exp(z).sum())
         assert r["n_tokens"] == len(ws) and abs(r["pll"] - total) < 1e-2
 
 
+def test_pseudo_likelihood_steps_down_its_gradient():
+    rng = np.random.default_rng(4)
+    model = pseudolm.Model(np.zeros(0, np.uint64), np.zeros(0, np.int32), [p.astype(np.float32) for p in pseudolm.initial()], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    ids = rng.integers(1, 1024, 40).astype(np.int32)
+    around = model.contexts(ids, np.repeat([0, 1], 20))
+    before = [p.copy() for p in model.params]
+    loss = lambda params: -pseudolm.replace(model, params=params).log_probability(ids, around).mean()
+    rate = 1e-3
+    model.train_step(ids, around, rate)
+    for which in (1, 2, 3):  # the step of bias and weights is 8 * rate * gradient
+        moved = np.argwhere(model.params[which] != before[which])
+        for at in map(tuple, moved[rng.choice(len(moved), 6, replace=False)]):
+            up, down = ([p.astype(float) for p in before] for _ in range(2))
+            up[which][at] += 1e-3
+            down[which][at] -= 1e-3
+            slope = (loss(up) - loss(down)) / 2e-3
+            assert np.isclose((before[which][at] - model.params[which][at]) / (8 * rate), slope, rtol=0.05, atol=1e-4)
+    assert loss(model.params) < loss(before)
+
+
 def test_pseudo_likelihood_of_extreme_scores():
     model = pseudolm.Model(np.zeros(0, np.uint64), np.zeros(0, np.int32), pseudolm.initial(), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(pseudolm.CLASSES**2 - 1 - pseudolm.own_ids(pseudolm.CLASSES), np.int64))
     model.params = [p * 1e4 for p in model.params]
