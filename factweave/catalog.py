@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .plans.compiler import BUDGET, run_query
 from .sources.views import DATOMS, Attribute, Facts, Schema, Tables
@@ -16,9 +17,22 @@ KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey
 REFS = {"nation": {"n_regionkey": "region"}, "customer": {"c_nationkey": "nation"}, "supplier": {"s_nationkey": "nation"}, "orders": {"o_custkey": "customer"}, "lineitem": {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, "labels": {"doc_id": "documents"}}
 
 
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
+def _frame(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its schema is read from the files once as long as they don't change."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    known = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    stamp = path, known.getModificationTime(), known.getLen()
+    if stamp not in _SCHEMAS:
+        _SCHEMAS[stamp] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[stamp]).parquet(path)
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> Tables:
     """The named tables as one database. Rows of lineitem have no key of their own; their place in the file stands in."""
-    frames = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    frames = {n: _frame(spark, f"{sf_dir}/{n}.parquet") for n in names}
     place = F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(512)) * F.lit(1 << 27) + F.col("_metadata.row_index")
     keys = {n: KEYS.get(n, place) for n in names}
     refs = {n: {c: t for c, t in REFS.get(n, {}).items() if t in frames} for n in names}
@@ -34,9 +48,9 @@ def ask(*names: str, text, **more) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> Facts:
-    """Events as facts: each states its user's latest type and value, in the order of event ids."""
+    """Events as facts: each adds a type and a value to its user's, or takes them away, in the order of event ids."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    schema = Schema({"user/type": Attribute("user/type", 1001, "string"), "user/value": Attribute("user/value", 1002, "double")}, {"user/type": 1001, "user/value": 1002})
+    schema = Schema({"user/type": Attribute("user/type", 1001, "string", True), "user/value": Attribute("user/value", 1002, "double", True)}, {"user/type": 1001, "user/value": 1002})
     empty = lambda kind: F.lit(None).cast(kind)
 
     def facts(attr: int, vt: int, number, word):

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import edn
-from .builder import Param, entities
+from .builder import Param, entities, rule
 from .operators.pull import pull_frame
 from .plans.compiler import run_query
 from .policy import Policy, Principal, Rule
+from .shapes import field, identity, shape
 from .sources.scratch import shared_dir
+from .streaming.frames import follow, frames
 from .streaming.live import Live, Replica, changes
 from .transactions import Connection, Store
 
@@ -88,6 +90,8 @@ for _name, _test, _sql in [
     ("some", "(some? ?s)", "p_name IS NOT NULL"),
 ]:
     add(f"pred_{_name}", asked("part", text=f"[:find ?s :where [?p :part/name ?s] [{_test}]]"), f"SELECT DISTINCT p_name AS s FROM part WHERE {_sql}")
+add("pred_blank", asked("part", text='[:find ?s ?w :where [?p :part/name ?s] [(split ?s "[a-z]+") [?w ...]] [(blank? ?w)]]'), "SELECT DISTINCT p_name AS s, unnest(['', ' ']) AS w FROM part")
+add("pred_kinds", asked(text='[:find ?s ?kind :where [(ground [true "x" 3 2.5]) [?x ...]] (or-join [?x ?kind] (and [(boolean? ?x)] [(ground "truth") ?kind]) (and [(string? ?x)] [(ground "text") ?kind]) (and [(number? ?x)] [(ground "number") ?kind])) [(str ?x) ?s]]'), "SELECT s, kind FROM (VALUES ('true', 'truth'), ('x', 'text'), ('3', 'number'), ('2.5', 'number')) v(s, kind)")
 add("pred_truth", asked("nation", text='[:find ?name ?flag :where [?n :nation/name ?name] [?n :nation/nationkey ?k] (or-join [?k ?flag] (and [(< ?k 9)] [(ground true) ?flag] [(true? ?flag)]) (and [(>= ?k 9)] [(ground false) ?flag] [(false? ?flag)]))]'), "SELECT n_name AS name, n_nationkey < 9 AS flag FROM nation")
 add("pred_nil", asked("nation", text='[:find ?name :where [?n :nation/name ?name] [?n :nation/nationkey ?k] (or-join [?k ?v] (and [(< ?k 4)] [(ground [nil]) [?v ...]]) (and [(>= ?k 4)] [(identity ?k) ?v])) [(nil? ?v)]]'), "SELECT n_name AS name FROM nation WHERE n_nationkey < 4")
 add("temporal_range", asked("orders", text='[:find ?p (as (count ?o) ?n) :where [?o :orders/orderdate ?d] [(<= #inst "1996-03-01T00:00:00Z" ?d)] [(< ?d #inst "1997-01-01T00:00:00Z")] [?o :orders/orderpriority ?p]]'), "SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1")
@@ -232,6 +236,15 @@ def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["name"], r["acctbal"]) for r in rows], "name string, acctbal double")
 
 
+_RICH = entities("customer").where("mktsegment", "=", Param("segment")).where("acctbal", ">", 8000).select("name")
+add("builder_open", _built("customer", "nation", make=lambda: entities("nation").open(_RICH, segment="BUILDING").follow("nationkey", "nation").select("name")), "SELECT DISTINCT n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 8000")
+add("builder_refine", _built("customer", "nation", make=lambda: _RICH.refine(lambda c: c.follow("nationkey", "nation").where("nationkey", "<", 9)), segment="MACHINERY"), "SELECT DISTINCT c_name AS name FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 8000 AND c_nationkey < 9")
+add("builder_enrich", _built("customer", "nation", make=lambda: _RICH.order_by("name").limit(3).logic().enrich("acctbal", home="nationkey.:nation/name"), segment="HOUSEHOLD"), "SELECT c_name AS name, c_acctbal AS acctbal, n_name AS home FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'HOUSEHOLD' AND c_acctbal > 8000")
+add("builder_rows", over("orders", "customer", "nation")(lambda db: entities("orders").where("orderpriority", "=", "1-URGENT").where("orderstatus", "=", "O").mark("o").follow("custkey", "customer").where("acctbal", "<", 0).rows(order={"id": "o.orderkey", "price": "o.totalprice"}, who="name", land={"name": "nationkey.:nation/name"}).compile(db).df.toDF("id", "price", "who", "land")), "SELECT o_orderkey AS id, o_totalprice AS price, c_name AS who, n_name AS land FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AND c_acctbal < 0")
+add("builder_gate", _built("nation", make=lambda: entities("nation").has("name").when(Param("below", kind="long"), lambda q: q.where("nationkey", "<", Param("below"))).when(Param("like"), lambda q: q.where("name", "=", Param("like"))).select("name"), below=6), "SELECT n_name AS name FROM nation WHERE n_nationkey < 6")
+add("builder_rule", _built("customer", "nation", "region", make=lambda: entities("customer").where("acctbal", "<", -950).call(rule("area", "customer", lambda c: c.follow("nationkey", "nation").follow("regionkey", "region")), ns="region").select("name")), "SELECT DISTINCT r_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal < -950")
+_HOME = shape(id=identity(), name=field("customer/name"), land=field("customer/nationkey").select(name=field("nation/name")), motto=field("customer/motto").or_default("none"), orders=field("orders/_custkey").select(price=field("orders/totalprice")).with_(order=[[":orders/totalprice", ":desc"]], limit=2))
+add("builder_shape", over("customer", "nation", "orders")(lambda db: entities("customer").where("acctbal", ">", 9500).shaped(_HOME).compile(db).df.select((F.col("tree.`db/id`") % (1 << 36)).alias("id"), F.col("tree.name").alias("name"), F.col("tree.land.name").alias("land"), F.col("tree.motto").alias("motto"), F.array_max(F.col("tree.orders.price")).alias("best"))), "SELECT c_custkey AS id, c_name AS name, n_name AS land, 'none' AS motto, max(o_totalprice) AS best FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 9500 GROUP BY ALL")
 add("builder_page", _page, "SELECT s_name AS name, s_acctbal AS acctbal FROM supplier ORDER BY s_acctbal DESC, s_name LIMIT 8 OFFSET 8")
 
 # logs: views, transactions, storage, policies, standing queries
@@ -244,9 +257,10 @@ def _events(spark: SparkSession, sf_dir: str):
 
 
 _STATE = "(SELECT user_id, event_type, event_id % 5 <> 0 AS op, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn, event_id FROM events WHERE user_id IS NOT NULL)"
+_EARLY = _STATE.replace("FROM events WHERE", "FROM events WHERE event_id <= 600 AND")
 add("get_else_default", lambda spark, sf_dir: run_query(_events(spark, sf_dir), '[:find ?e ?t :where [?e :user/value ?v] [(> ?v 90)] [(get-else $ ?e :user/type "gone") ?t]]').df, f"WITH t AS (SELECT user_id, event_type FROM {_STATE} WHERE rn = 1 AND op), v AS (SELECT user_id, value FROM (SELECT user_id, value, event_id % 5 <> 0 AS op, row_number() OVER (PARTITION BY user_id, value ORDER BY event_id DESC) AS rn FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL) WHERE rn = 1 AND op AND value > 90) SELECT DISTINCT v.user_id AS e, coalesce(event_type, 'gone') AS t FROM v LEFT JOIN t ON v.user_id = t.user_id")
 add("get_else_other_kind", lambda spark, sf_dir: run_query(_events(spark, sf_dir), "[:find ?e ?s :where [?e :user/value ?v] [(> ?v 90)] [(get-else $ ?e :user/type -1) ?t] [(str ?t) ?s]]").df, ALL["get_else_default"][1].replace("AS t FROM v", "AS s FROM v").replace("'gone'", "'-1'"))
-add("missing_attribute", lambda spark, sf_dir: run_query(_events(spark, sf_dir), "[:find ?e :where [?e :user/value ?v] [(missing? $ ?e :user/type)]]").df, f"WITH t AS (SELECT user_id FROM {_STATE} WHERE rn = 1 AND op) SELECT DISTINCT user_id AS e FROM (SELECT user_id, event_id % 5 <> 0 AS op, row_number() OVER (PARTITION BY user_id, value ORDER BY event_id DESC) AS rn FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL) WHERE rn = 1 AND op AND user_id NOT IN (SELECT user_id FROM t)")
+add("missing_attribute", lambda spark, sf_dir: run_query(_events(spark, sf_dir).as_of(600), "[:find ?e :where [?e :user/value ?v] [(missing? $ ?e :user/type)]]").df, f"WITH t AS (SELECT user_id FROM {_EARLY} WHERE rn = 1 AND op) SELECT DISTINCT user_id AS e FROM (SELECT user_id, event_id % 5 <> 0 AS op, row_number() OVER (PARTITION BY user_id, value ORDER BY event_id DESC) AS rn FROM events WHERE event_id <= 600 AND user_id IS NOT NULL AND value IS NOT NULL) WHERE rn = 1 AND op AND user_id NOT IN (SELECT user_id FROM t)")
 add("transaction_of_fact", lambda spark, sf_dir: run_query(_events(spark, sf_dir), "[:find ?e ?type ?t :where [?e :user/type ?type ?tx] [(- ?tx %d) ?t] [(> ?t 9000)]]" % (1 << 42)).df, f"SELECT user_id AS e, event_type AS type, event_id AS t FROM {_STATE} WHERE rn = 1 AND op AND event_id > 9000")
 add("cross_view", lambda spark, sf_dir: run_query({"$": _events(spark, sf_dir), "$old": _events(spark, sf_dir).as_of(5000)}, "[:find ?e ?type :in $ $old :where [?e :user/type ?type] (not [$old ?e :user/type ?type])]").df, f"SELECT user_id AS e, event_type AS type FROM {_STATE} WHERE rn = 1 AND op EXCEPT SELECT user_id, event_type FROM {_STATE.replace('user_id IS NOT NULL', 'user_id IS NOT NULL AND event_id <= 5000')} WHERE rn = 1 AND op")
 
@@ -352,6 +366,22 @@ def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_query(replica.db(conn.t), _WHO).df
 
 
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, conn = _store(spark, sf_dir)
+    replica = Replica(store)
+    start = conn.t
+    for k in range(3):
+        conn.transact([[":db/add", [":land/code", k], ":land/title", edn.Const(f"f{k}")]])
+    said = follow(replica, frames(store, start))
+    assert said == ["hello", "applied", "applied", "applied"], said
+    return run_query(replica.db(conn.t), _WHO).df
+
+
+def _reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    onward = rule("onward", "land", lambda x: x.follow("near"), lambda x: x.follow("near").call(onward))
+    return entities("land").where("code", "=", 20).call(onward).select("code").compile(_lands(spark, sf_dir).db()).df
+
+
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, conn = _store(spark, sf_dir)
     seen: list = []
@@ -402,6 +432,8 @@ add("store_compact", _compacted, _NATIONS.format("CASE WHEN n_nationkey = 6 THEN
 add("store_old_root", _rooted, _NATIONS.format("n_name"))
 add("store_from_datoms", _from_datoms, _NATIONS.format("n_name"))
 add("replica_follow", _followed, _NATIONS.format("CASE WHEN n_nationkey < 4 THEN 'r' || n_nationkey ELSE n_name END"))
+add("replica_frames", _framed, _NATIONS.format("CASE WHEN n_nationkey < 3 THEN 'f' || n_nationkey ELSE n_name END"))
+add("builder_rule_recursive", _reached, "SELECT n_nationkey::BIGINT AS code FROM nation")
 add("live_latest", _live, "SELECT n_nationkey::BIGINT AS c, CASE WHEN n_nationkey = 2 THEN 'two' ELSE n_name END AS t, 2 AS results FROM nation")
 add("change_feed", _fed, "SELECT t::BIGINT AS t, kind FROM (VALUES (1, 'datoms'), (2, 'skip'), (3, 'resync')) v(t, kind)")
 add("policy_read", _allowed, _NATIONS.format("CASE WHEN n_nationkey = 5 THEN 'hidden' ELSE n_name END"))

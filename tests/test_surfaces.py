@@ -2,12 +2,15 @@ import time
 
 import pytest
 
-from factweave.builder import NotOne, Param, ParamError, entities
+from factweave.builder import NotOne, Param, ParamError, entities, rule
 from factweave.operators.pull import pull, pull_many
 from factweave.plans.compiler import run_query
 from factweave.policy import Policy, Principal, Rule
-from factweave.streaming.live import Live, changes
-from factweave.transactions import Connection, Store, TxError
+from factweave.plans.query import QueryError
+from factweave.shapes import again, everything, field, identity, shape
+from factweave.streaming.frames import follow, frames, unwired, wire
+from factweave.streaming.live import Live, Replica, changes
+from factweave.transactions import Connection, StaleError, Store, TxError
 from tests import harbour
 from tests.harbour import CLOCK, PORTS, SCHEMA, attribute
 
@@ -118,6 +121,139 @@ def test_builder(coast):
     assert [r["title"] for r in first + rest] == sorted(p["title"] for p in PORTS.values()) and end is None
 
 
+def test_builder_composes_queries(coast):
+    conn, ids = coast
+    db = conn.db()
+    deep = entities("port").where("draft", ">", Param("over", kind="double")).select("code")
+    assert entities("port").open(deep, over=9).follow("hub").select("code").run(db) == [{"code": "VEL"}]
+    assert deep.refine(lambda p: p.where("ice", "=", True)).order_by("code").run(db, over=9.0) == [{"code": "HAF"}, {"code": "TOR"}]
+    assert deep.order_by("code").limit(1).logic().enrich(b="berths").order_by("b").run(db, over=9.0) == [{"code": "TOR", "b": 4}, {"code": "HAF", "b": 7}, {"code": "VEL", "b": 12}]
+    for wrong in (lambda: entities("port").open(deep.limit(2), over=1), lambda: deep.limit(1).refine(lambda p: p), lambda: deep.order_by("code").enrich("title"), lambda: deep.when(Param("x"), lambda p: p.follow("hub"))):
+        with pytest.raises(QueryError):
+            wrong()
+    with pytest.raises(ParamError):
+        deep.run(db, over="deep")
+    with pytest.raises(ParamError):
+        entities("port").open(deep)
+    lined = entities("port").where("ice", "=", True).mark("from").follow("hub").rows(at="code", start={"code": "from.code", "size": {"berths": "from.berths"}})
+    assert lined.run(db) == [{"at": "VEL", "start": {"code": "TOR", "size": {"berths": 4}}}]
+    gated = entities("port").has("title").when(Param("coast"), lambda p: p.where("coast", "=", Param("coast"))).select("code").order_by("code")
+    assert [r["code"] for r in gated.run(db)] == sorted(PORTS) and [r["code"] for r in gated.run(db, coast="west")] == ["IST", "QUN"]
+    above = rule("above", "port", lambda p: p.follow("hub"), lambda p: p.follow("hub").call(above))
+    assert entities("port").where("code", "=", "LOM").call(above).select("code").order_by("code").run(db) == [{"code": c} for c in ("IST", "QUN", "VEL")]
+    cold = rule("cold", "port", lambda p: p.where("ice", "=", True), lambda p: p.where("coast", "=", "north"))
+    assert entities("port").has("code").call(cold).select("code").order_by("code").run(db) == [{"code": c} for c in ("HAF", "TOR", "VEL")]
+
+
+def test_shapes(coast):
+    conn, ids = coast
+    db = conn.db()
+    want = shape(id=identity(), title=field("port/title"), draft=field("port/draft"), hub=field("port/hub").select(code=field("port/code")), goods=field("port/goods").all(), coast=field("port/coast").or_default("?"), since=field("port/since").optional())
+    got = entities("port").has("code").shaped(want).run(db)
+    assert sorted(r["title"] for r in got) == ["Istra Quay", "Lomond", "Torvik"]  # those with a draft and a hub
+    by = {r["title"]: r for r in got}
+    assert by["Lomond"] == {"id": ids["LOM"], "title": "Lomond", "draft": 3.75, "hub": {"code": "IST"}, "goods": [], "coast": "?", "since": 659968200000}
+    assert by["Torvik"]["goods"] == ["fish"] and "since" not in by["Torvik"]
+    leaves = shape(code=field("port/code"), leaves=field("port/_hub").select(code=field("port/code")), cranes=field("crane/_of").select(everything()))
+    vel = entities("port").where("code", "=", "VEL").shaped(leaves).run(db)
+    assert vel[0]["leaves"] == [{"code": "TOR"}, {"code": "QUN"}] and sorted(c["crane/tons"] for c in vel[0]["cranes"]) == [40, 90]
+    up = shape(code=field("port/code"), hub=field("port/hub").optional().select(again(2)))
+    assert entities("port").where("code", "=", "LOM").shaped(up).run(db) == [{"code": "LOM", "hub": {"code": "IST", "hub": {"code": "QUN", "hub": {"db/id": ids["VEL"]}}}}]
+    with pytest.raises(QueryError):
+        again(17)
+
+
+def _buoys(spark, path):
+    conn = Connection(spark, now=lambda: 3, path=path)
+    conn.transact([attribute("buoy/name", "string", unique="identity"), attribute("buoy/depth", "long"), attribute("buoy/seal", "bytes")])
+    return conn, conn.transact([{":db/id": "b", ":buoy/name": "B7", ":buoy/depth": 40, ":buoy/seal": b"\x00\xff"}]).tempids["b"]
+
+
+def test_store_survives_failures(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "db")
+    conn, b = _buoys(spark, path)
+    store = Store(spark, path)
+    # a failed write leaves neither facts nor state, and the number is free again
+    t, before = conn.t, conn.log().count()
+    with monkeypatch.context() as m:
+        m.setattr(spark.__class__, "createDataFrame", lambda *a, **k: (_ for _ in ()).throw(OSError("disk")))
+        with pytest.raises(OSError):
+            conn.transact([[":db/add", b, ":buoy/depth", 1]])
+        with pytest.raises(OSError):
+            conn.transact_many([[[":db/add", b, ":buoy/depth", 1]]])
+    assert (conn.t, conn.log().count()) == (t, before)
+    conn.transact([[":db/add", b, ":buoy/depth", 41]])
+    # a second writer with an old view of the store is refused, and what is there stays
+    other = Store(spark, path).connect()
+    conn.transact([[":db/add", b, ":buoy/depth", 42]])
+    with pytest.raises(TxError) as late:
+        other.transact([[":db/add", b, ":buoy/depth", 99]])
+    assert late.value.code == "conflict" and store.connect().db().entity(b)["buoy/depth"] == 42
+    # a snapshot without its manifest doesn't count
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_create", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.compact()
+    assert store.current() == 0 and store.connect().db().entity(b)["buoy/depth"] == 42
+    first = store.compact()
+    conn = store.connect()
+    conn.transact([[":db/add", b, ":buoy/depth", 43]])
+    second = store.compact()
+    # only what the log touched was written again; the old root still reads as it was
+    assert set(store.manifest(second).values()) == {first, second} and store.at_root(first).entity(b)["buoy/depth"] == 42
+    assert store.retain(1) == [second] and store.connect().db().entity(b) == {"buoy/name": "B7", "buoy/depth": 43, "buoy/seal": b"\x00\xff", "db/id": b}
+    with pytest.raises(StaleError):
+        store.connect(second + 1)
+    # a claim of a writer that died
+    (tmp_path / "db" / "claims" / f"{second + 1:012d}").touch()
+    with pytest.raises(TxError):
+        store.connect().transact([[":db/add", b, ":buoy/depth", 44]])
+    assert store.recover() == [second + 1]
+    assert store.connect().transact([[":db/add", b, ":buoy/depth", 44]], "mine").t == second + 1
+    again = store.connect().transact([[":db/add", b, ":buoy/depth", 45]], "mine")
+    assert again.t == second + 1 and any(r[3] == 44 for r in again.datoms) and store.connect().db().entity(b)["buoy/depth"] == 44
+
+
+def test_replica_and_frames(spark, tmp_path):
+    conn, b = _buoys(spark, str(tmp_path / "db"))
+    store = Store(spark, conn.path)
+    replica, start = Replica(store), conn.t
+    reports = [conn.transact([[":db/add", b, ":buoy/depth", 50 + k]]) for k in range(3)]
+    assert replica.offer(reports[2].t, reports[2].datoms) == "filled" and replica.offer(reports[0].t, reports[0].datoms) == "duplicate"
+    assert replica.db().entity(b)["buoy/depth"] == 52
+    assert Replica(store).offer(conn.t + 5, []) == "early"
+    for r in store.log().collect():
+        assert unwired(wire(tuple(r))) == tuple(r)
+    late = Replica(store)
+    late.t, late._base = start, store.tail(0).where(f"t <= {start}")
+    assert follow(late, frames(store, start)) == ["hello", "applied", "applied", "applied"]
+    assert late.db(conn.t).entity(b) == replica.db().entity(b)
+    with pytest.raises(ValueError):
+        follow(late, ['{"v": 2, "kind": "tx"}'])
+
+
+def test_live_tries_again_and_ends(spark, tmp_path, monkeypatch):
+    conn, b = _buoys(spark, str(tmp_path / "db"))
+    store, seen, failed = Store(spark, conn.path), [], []
+    live = Live(store, "[:find ?d . :where [_ :buoy/depth ?d]]", emit=lambda v, t: seen.append(v))
+    plain = Store.connect
+
+    def shaky(self, min_t=0):
+        if len(failed) < 2:
+            failed.append(1)
+            raise OSError("not now")
+        return plain(self, min_t)
+
+    monkeypatch.setattr("factweave.streaming.live.WAITS", (0.01, 0.02))
+    monkeypatch.setattr(Store, "connect", shaky)
+    live._patiently()
+    assert seen == [40] and len(failed) == 2
+    wrong = Live(store, "[:find ?d . :where [_ :buoy/none ?d]]", emit=lambda v, t: seen.append(v))
+    with pytest.raises(QueryError):
+        wrong._patiently()
+    assert isinstance(wrong.ended, QueryError) and seen == [40]
+
+
 def test_store_and_live(spark, tmp_path):
     path = str(tmp_path / "db")
     conn = Connection(spark, now=lambda: 3, path=path)
