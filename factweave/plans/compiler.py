@@ -5,7 +5,9 @@ which every clause shares a variable with those before it where possible; predic
 as their variables are bound, so Catalyst sees them next to the scans. Rewrites that Catalyst can't see:
 single-valued attributes of one entity are read in one scan (`View.star`), the optional idiom (a path, or not
 that path and null) is a left join, rules without recursion are inlined, and recursive ones run to a fixpoint on
-new rows only, each round written to the shared folder.
+new rows only, each round written to the shared folder. A relation knows variables that identify its rows (an entity
+identifies its single values, and a join on them keeps the other side's), so results that hold them are sets already
+and aren't made distinct, which would be a shuffle.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import types as T
 from ..functions.aggregates import AGGREGATES, DRAW
 from ..functions.builtins import bare, function, predicate
 from ..functions.values import SPARK_TYPES, UNION, Val, before, cast_to, common, const, equal, kind_of, plain, slots, sort_key
-from ..sources.scratch import written
+from ..sources.scratch import counted, written
 from ..sources.views import TX0, VALUE, View, coerced
 from .query import BLANK, Aggregate, Binding, BudgetError, Call, Lookup, Not, Or, Pattern, PullFind, Query, QueryError, RuleCall, Var, parse_query, vars_of
 
 MAX_ROUNDS = 1000
+#: Rounds after which the rows of a recursive rule are written as one.
+FOLD = 12
 #: Cells (rows times columns) that a product, or a recursive rule, may have unless the caller says otherwise.
 BUDGET = 1_572_864
 
@@ -37,6 +41,7 @@ class Relation:
     kinds: Mapping[str, str]
     consts: Mapping[str, Any] = field(default_factory=dict)
     nullable: frozenset = frozenset()
+    key: frozenset | None = None  # variables that no two rows share all of; None: rows may repeat
 
     def val(self, name: str) -> Val:
         return Val(self.df[f"`{name}`"], self.kinds[name], self.consts.get(name))
@@ -46,7 +51,10 @@ class Relation:
 
     def only(self, names: Sequence[str], distinct: bool = True) -> Relation:
         df = self.df.select(*[self.df[f"`{n}`"] for n in names])
-        return Relation(df.distinct() if distinct else df, {n: self.kinds[n] for n in names}, {n: c for n, c in self.consts.items() if n in names}, self.nullable & set(names))
+        kept = self.key if self.key is not None and self.key <= set(names) else None
+        if distinct and kept is None:
+            df, kept = df.distinct(), frozenset(names)
+        return Relation(df, {n: self.kinds[n] for n in names}, {n: c for n, c in self.consts.items() if n in names}, self.nullable & set(names), kept)
 
 
 @dataclass
@@ -91,7 +99,10 @@ def join(ctx: Context, a: Relation | None, b: Relation, how: str = "inner") -> R
     new = [n for n in b.kinds if n not in a.kinds]
     df = joined.select(*[a.df[f"`{n}`"] for n in a.kinds], *[right[f"`__r_{n}`"].alias(n) for n in new])
     ctx.steps.append({"strategy": f"{how}-join" if shared else "product", "on": shared, "adds": new})
-    return Relation(df, {**a.kinds, **{n: b.kinds[n] for n in new}}, {**b.consts, **a.consts}, a.nullable | b.nullable | (frozenset(new) if how == "left" else frozenset()))
+    key = None
+    if a.key is not None and b.key is not None:
+        key = a.key if b.key <= set(shared) else b.key if how == "inner" and a.key <= set(shared) else a.key | b.key
+    return Relation(df, {**a.kinds, **{n: b.kinds[n] for n in new}}, {**b.consts, **a.consts}, a.nullable | b.nullable | (frozenset(new) if how == "left" else frozenset()), key)
 
 
 def anti(ctx: Context, a: Relation, b: Relation, on: Sequence[str]) -> Relation:
@@ -118,12 +129,17 @@ def pattern(ctx: Context, p: Pattern, bound: Relation | None) -> Relation:
         a = view.entid(a)
     want_tx = p.tx != BLANK or p.op != BLANK
     cols: list[tuple[Any, Column, str]] = []
+    key = None
     if isinstance(a, Var):
         df = view.everything()
         cols = [(p.e, df["e"], "ref"), (p.a, df["a"], "ref"), (p.v, F.struct(*[df[c] for c in VALUE]), "any"), (p.tx, df["t"] + F.lit(TX0), "ref"), (p.op, df["op"], "boolean")]
     else:
         attr = view.schema.attr(a)
         df = view.relation(attr, want_tx)
+        if not view.past:
+            # an entity has a single value once; it has each of many values once
+            parts = [p.e] if not attr.many or p.v == BLANK or not isinstance(fixed(p.v), Var) else [p.e, p.v]
+            key = frozenset(x.name for x in parts if isinstance(x, Var)) if BLANK not in parts else None
         cols = [(p.e, df["e"], "ref"), (p.v, df["v"], attr.kind)]
         if want_tx:
             cols += [(p.tx, df["t"] + F.lit(TX0), "ref"), (p.op, df["op"], "boolean")]
@@ -140,9 +156,9 @@ def pattern(ctx: Context, p: Pattern, bound: Relation | None) -> Relation:
             else:
                 out[x.name] = col, kind
     shown = df.select(*[c.alias(n) for n, (c, _) in out.items()]) if out else df.select(F.lit(1).alias("__one")).limit(1)
-    if p.v == BLANK or not out:
-        shown = shown.distinct()
-    return Relation(shown, {n: k for n, (_, k) in out.items()})
+    if not out or p.v == BLANK and (key is None or attr.many):
+        shown, key = shown.distinct(), frozenset(out)
+    return Relation(shown, {n: k for n, (_, k) in out.items()}, key=key)
 
 
 def _matches(view: View, x, col: Column, kind: str) -> Column:
@@ -206,7 +222,7 @@ def star(ctx: Context, own: tuple[Pattern, ...], bound: Relation | None) -> Rela
             else:
                 out[p.v.name] = col, attr.kind
     ctx.steps.append({"strategy": "star", "on": [e.name], "attributes": [a.ident for a in attrs]})
-    return Relation(df.select(*[c.alias(n) for n, (c, _) in out.items()]), {n: k for n, (_, k) in out.items()})
+    return Relation(df.select(*[c.alias(n) for n, (c, _) in out.items()]), {n: k for n, (_, k) in out.items()}, key=frozenset([e.name]))
 
 
 # clauses
@@ -281,7 +297,7 @@ def apply(ctx: Context, rel: Relation | None, c) -> Relation:
 
 
 def _unit(ctx: Context, rel: Relation | None) -> Relation:
-    return rel if rel is not None else Relation(ctx.spark.range(1).select(F.lit(1).alias("__one")), {})
+    return rel if rel is not None else Relation(ctx.spark.range(1).select(F.lit(1).alias("__one")), {}, key=frozenset())
 
 
 def _arg(rel: Relation, x) -> Val:
@@ -350,7 +366,7 @@ def _bind_column(ctx: Context, rel: Relation, binding: Binding, value: Val) -> R
         if rel.has(binding.vars[0]):
             return replace(rel, df=rel.df.where(equal(rel.val(names[0]), value)))
         df = rel.df.select(*kept, value.col.alias(names[0])).where(F.col(f"`{names[0]}`").isNotNull())
-        return Relation(df, {**rel.kinds, names[0]: value.kind}, rel.consts, rel.nullable)
+        return Relation(df, {**rel.kinds, names[0]: value.kind}, rel.consts, rel.nullable, rel.key)
     if not value.several:
         raise QueryError(f"a {value.kind} isn't a collection to take apart")
     if binding.kind == "coll":
@@ -376,7 +392,7 @@ def _bind_column(ctx: Context, rel: Relation, binding: Binding, value: Val) -> R
     for k in range(len(cells)):
         known = value.inner[k] if value.kind.startswith("tuple") else value.inner[0] if binding.kind == "tuple" else ""
         kinds[f"__x{k}"] = known if known in SPARK_TYPES or known == "any" else _kind_of_type(df.schema[f"__x{k}"].dataType)
-    return _settle(Relation(df, {**rel.kinds, **kinds}, rel.consts, rel.nullable), [(f"__x{k}", v) for k, (_, v) in enumerate(cells)])
+    return _settle(Relation(df, {**rel.kinds, **kinds}, rel.consts, rel.nullable, rel.key if binding.kind == "tuple" else None), [(f"__x{k}", v) for k, (_, v) in enumerate(cells)])
 
 
 def _settle(rel: Relation, moves: list[tuple[str, Var]], nullable: bool = False) -> Relation:
@@ -393,7 +409,7 @@ def _settle(rel: Relation, moves: list[tuple[str, Var]], nullable: bool = False)
             if nullable:
                 null.add(v.name)
         kinds.pop(temp)
-    return Relation(df, kinds, rel.consts, frozenset(null))
+    return Relation(df, kinds, rel.consts, frozenset(null), rel.key)
 
 
 def bind_rows(ctx: Context, binding: Binding, value) -> Relation:
@@ -411,7 +427,7 @@ def bind_rows(ctx: Context, binding: Binding, value) -> Relation:
     cells = [tuple(None if r[k] is None else slots(r[k]) if kinds[v.name] == "any" else coerced(kinds[v.name], r[k]) for k, v in places) for r in rows]
     df = ctx.spark.createDataFrame(list(dict.fromkeys(cells)), schema) if places else ctx.spark.range(1 if rows else 0).select(F.lit(1).alias("__one"))
     single = {v.name: rows[0][k] for k, v in places if len(rows) == 1 and rows[0][k] is not None}
-    return Relation(df, kinds, single, frozenset(null))
+    return Relation(df, kinds, single, frozenset(null), frozenset(kinds))
 
 
 def _attribute_call(ctx: Context, rel: Relation, name: str, c: Call) -> Relation:
@@ -428,7 +444,7 @@ def _attribute_call(ctx: Context, rel: Relation, name: str, c: Call) -> Relation
     value = Val(facts["__v"], attr.kind)
     kind = common((attr.kind, default.kind))
     out = F.coalesce(cast_to(value, kind), cast_to(default, kind))
-    base = Relation(df.select(*[rel.df[f"`{n}`"] for n in rel.kinds], out.alias("__x")), {**rel.kinds, "__x": kind}, rel.consts, rel.nullable)
+    base = Relation(df.select(*[rel.df[f"`{n}`"] for n in rel.kinds], out.alias("__x")), {**rel.kinds, "__x": kind}, rel.consts, rel.nullable, None if attr.many or view.past else rel.key)
     return _settle(base, [("__x", c.binding.vars[0])]) if c.binding else base
 
 
@@ -501,7 +517,7 @@ def union(parts: Sequence[Relation]) -> Relation:
     for n in parts[0].kinds:
         kinds[n] = common(p.kinds[n] for p in parts)
     frames = [p.df.select(*[cast_to(Val(F.col(f"`{n}`"), p.kinds[n]), k).alias(n) for n, k in kinds.items()]) for p in parts]
-    return Relation(reduce(DataFrame.unionByName, frames).distinct(), kinds, {}, frozenset().union(*[p.nullable for p in parts]))
+    return Relation(reduce(DataFrame.unionByName, frames).distinct(), kinds, {}, frozenset().union(*[p.nullable for p in parts]), frozenset(kinds))
 
 
 # rules
@@ -584,6 +600,7 @@ def rule(ctx: Context, rel: Relation | None, c: RuleCall) -> Relation:
     out = _settle(Relation(df, kinds, {}, base.nullable), moves)
     if any(a == BLANK for a in c.args):
         out = replace(out, df=out.df.distinct() if out.kinds else out.df.limit(1))
+    out = replace(out, key=frozenset(out.kinds))  # base is a union, made distinct, or a solved rule: a set
     return join(ctx, rel, out)
 
 
@@ -604,6 +621,7 @@ def fixpoint(ctx: Context, name: str) -> None:
         return Relation(solved.df.toDF(*[f"__{k}" for k in range(len(head))]), {f"__{k}": solved.kinds[v.name] for k, v in enumerate(head)})
 
     total: dict[str, Relation] = {}
+    held: dict[str, int] = {}  # rows of total
     bases = {n: [(h, b) for h, b in ctx.rules[n] if not _calls(b) & group] for n in group}
     waiting = set(group)
     while waiting:  # a rule without a base takes its kinds from the rules that it calls
@@ -618,11 +636,13 @@ def fixpoint(ctx: Context, name: str) -> None:
                 h, b = next((h, b) for h, b in ctx.rules[n] if _calls(b) & group <= set(total))
                 found = union([given(n, h, b)])
                 total[n] = replace(found, df=found.df.where(F.lit(False)))
-            total[n] = replace(total[n], df=written(total[n].df, "rule"))
+            rows, held[n] = counted(total[n].df, "rule")
+            total[n] = replace(total[n], df=rows)
             waiting.discard(n)
     delta = dict(total)
-    for _ in range(MAX_ROUNDS):
+    for turn in range(1, MAX_ROUNDS):
         fresh: dict[str, Relation] = {}
+        sizes: dict[str, int] = {}
         for n in group:
             parts = []
             for head, body in ctx.rules[n]:
@@ -639,16 +659,20 @@ def fixpoint(ctx: Context, name: str) -> None:
                 found = union(parts)
                 keys = list(total[n].kinds)
                 new = found.df.select(*[F.col(k).cast(total[n].df.schema[k].dataType).alias(k) for k in keys]).join(total[n].df, keys, "left_anti")
-                fresh[n] = replace(total[n], df=written(new, "round"))
-        sizes = {n: r.df.count() for n, r in fresh.items()}
+                rows, sizes[n] = counted(new, "round")
+                fresh[n] = replace(total[n], df=rows)
         if not any(sizes.values()):
             break
-        if ctx.budget is not None and sum(s * len(total[n].kinds) for n, s in sizes.items()) + sum(r.df.count() * len(r.kinds) for r in total.values()) > ctx.budget:
+        for n, s in sizes.items():
+            held[n] += s
+        if ctx.budget is not None and sum(held[n] * len(r.kinds) for n, r in total.items()) > ctx.budget:
             raise BudgetError(f"rule {name} is over the budget of {ctx.budget} cells")
         for n in group:
             delta[n] = fresh.get(n, replace(total[n], df=total[n].df.where(F.lit(False))))
             if sizes.get(n):
                 total[n] = replace(total[n], df=total[n].df.unionByName(delta[n].df))
+                if turn % FOLD == 0:  # else the plan grows with the rounds
+                    total[n] = replace(total[n], df=written(total[n].df, "rule"))
     else:
         raise QueryError(f"rule {name} doesn't settle in {MAX_ROUNDS} rounds")
     for n in group:
@@ -696,8 +720,12 @@ class Result:
 
 
 def _shown(x, kind: str | None):
+    if kind == "tree":
+        from ..operators.pull import tree
+
+        return tree(x)
     if hasattr(x, "asDict"):
-        return next((x[f] for f in VALUE[1:] if x[f] is not None), None) if "vt" in x and kind != "tree" else x.asDict(recursive=True)
+        return next((x[f] for f in VALUE[1:] if x[f] is not None), None) if "vt" in x else x.asDict(recursive=True)
     return [_shown(y, kind) for y in x] if isinstance(x, list) else x
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +32,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """`written`, and the number of rows, which the write observes."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]

@@ -249,8 +249,8 @@ class Column_:
 class Tables(View):
     """Tables as namespaces: a row is an entity, a column an attribute `table/column`.
 
-    An entity id is (number of the table << 36) | row key, so it cannot meet a transaction's. A foreign key is
-    an attribute twice: under its own name as a reference to the other table's entity, and as `name#` plain."""
+    An entity id is (number of the table << 36) + row key, so it cannot meet a transaction's; keys are unique. A foreign
+    key is an attribute twice: under its own name as a reference to the other table's entity, and as `name#` plain."""
 
     def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame], keys: Mapping[str, Column | str], refs: Mapping[str, Mapping[str, str]] | None = None, names=lambda table, column: column):
         self.spark, self.frames, self.keys = spark, dict(frames), dict(keys)
@@ -281,6 +281,16 @@ class Tables(View):
         key = self.keys[table]
         return self._entity(table, self.frames[table][key] if isinstance(key, str) else key)
 
+    def entid(self, ref) -> int | None:
+        """A row's id follows from its key: no read, and a key without a row names an entity without facts."""
+        if isinstance(ref, (list, tuple)) and len(ref) == 2:
+            ref = Lookup(str(ref[0]).lstrip(":"), ref[1])
+        if isinstance(ref, Lookup) and isinstance(ref.value, int) and not isinstance(ref.value, bool):
+            attr = self.schema.attr(ref.attr)
+            if attr.unique and attr.kind == "long":
+                return (self.number[attr.namespace] << 36) + ref.value
+        return super().entid(ref)
+
     def relation(self, attr: Attribute, tx: bool = False) -> DataFrame:
         table, col = self.columns[attr.ident]
         out = self.frames[table].select(self._e(table).alias("e"), col.alias("v"), *((F.lit(1).cast("bigint").alias("t"), F.lit(True).alias("op")) if tx else ()))
