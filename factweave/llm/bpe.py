@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bytebpe import PIECES, ByteBPE, PartCache, words_of
+from .bytebpe import LONGEST, PIECES, ByteBPE, PartCache, words_of
 from .common import each, give_back
 
 #: Bytes of pieces that a pass over ids keeps; the columns beside them need the memory.
@@ -32,7 +32,7 @@ def coder(path: str) -> tuple[ByteBPE, PartCache, PartCache]:
     """The encoder of a file with its caches, once per Python process: pieces -> ids, parts -> (count, ",id,id", bytes).
     A part is the text behind a space that starts a piece, or, as a tuple, the text at the start of a span."""
     if path not in _CODERS:
-        _CODERS[path] = ByteBPE(path), PartCache(None), PartCache(None)
+        _CODERS[path] = ByteBPE(path), PartCache(), PartCache()
     return _CODERS[path]
 
 
@@ -55,7 +55,7 @@ def encode_pieces(path: str, wanted: set[str], limit: int) -> PartCache:
     pieces.loose = {}
     lack = list(wanted.difference(pieces))
     for p, ids in zip(lack, bpe.transduce([p.encode() for p in lack])):
-        if len(p) <= pieces.LONGEST:
+        if len(p) <= LONGEST:
             pieces.keep(p, ids, 200 + len(p) + 36 * len(ids))
         else:
             pieces.loose[p] = ids
@@ -73,7 +73,7 @@ def fetch(path: str, lists: list[list]) -> None:
     for part, own in zip(new, found):
         value = packed(bpe, [i for p in own for i in pieces[p]])
         size = len(part) if isinstance(part, str) else len(part[0])
-        if size <= parts.LONGEST:
+        if size <= LONGEST:
             parts.keep(part, value, 300 + size + len(value[1]) + len(value[2]))
         else:
             parts.loose[part] = value

@@ -269,25 +269,21 @@ def words_of(text: str) -> list[list[str]]:
     return out
 
 
-class PartCache(dict):
-    """Text part -> the bytes that `make` gives for it. Parts of more than LONGEST characters aren't kept; once what is kept has
-    about `limit` bytes, it is dropped."""
+#: Characters of the longest part that a cache keeps.
+LONGEST = 64
+
 
-    LONGEST = 64
+class PartCache(dict):
+    """Text part -> its ids in some form. Parts of more than LONGEST characters are `loose`: held with the texts at
+    hand only; once what is kept has about `limit` bytes, it is dropped."""
 
-    def __init__(self, make, limit: int = 96 << 20):
+    def __init__(self, limit: int = 96 << 20):
         super().__init__()
-        self.make, self.limit, self.size = make, limit, 0
-        self.loose: dict = {}  # long parts of the texts at hand
+        self.limit, self.size = limit, 0
+        self.loose: dict = {}
 
     def __missing__(self, part):
-        if part in self.loose:
-            return self.loose[part]
-        value = self.make(part)
-        if len(part) <= self.LONGEST:
-            self.trim()
-            self.keep(part, value, 190 + len(part) + len(value))
-        return value
+        return self.loose[part]
 
     def keep(self, part, value, cost: int) -> None:
         self[part] = value
@@ -301,3 +297,21 @@ class PartCache(dict):
     def clear(self) -> None:
         super().clear()
         self.loose, self.size = {}, 0
+
+
+class MadeCache(dict):
+    """Text part -> the bytes that `make` gives for it, with the same bounds."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.size = make, limit, 0
+
+    def __missing__(self, part):
+        value = self.make(part)
+        if len(part) <= LONGEST:
+            if self.size >= self.limit:
+                self.clear()
+                self.size = 0
+            self[part] = value
+            self.size += 190 + len(part) + len(value)  # with what a dict holds for each
+        return value

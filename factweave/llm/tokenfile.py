@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import PIECES, PartCache, byte_symbols, words_of
+from .bytebpe import PIECES, MadeCache, byte_symbols, words_of
 from .common import each, written
 
 _HEAD = struct.Struct("<8sIQQIQ")
@@ -93,7 +93,7 @@ class Library:
     `parts` holds the ids, as bytes, of text parts that start with a space; the pieces of a part go to the library's model.
     A tokenizer of another kind than plain byte-level BPE (`plain` is false) encodes each text whole."""
 
-    def __init__(self, path: str, limit: int = 192 << 20):
+    def __init__(self, path: str, limit: int = 160 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # an executor's cores already have a Python worker each
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -104,9 +104,9 @@ class Library:
         self.plain = tok.normalizer is None and isinstance(tok.model, models.BPE) and not tok.model.dropout and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
         self.kind = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
         self.special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
-        self.parts = PartCache(self._part, limit)
-        self.heads = PartCache(self.whole, limit // 8)  # texts' first parts, without a space before them
-        self._pieces = PartCache(self._piece, limit // 3)
+        self.parts = MadeCache(self._part, limit)
+        self.heads = MadeCache(self.whole, limit // 8)  # texts' first parts, without a space before them
+        self._pieces = MadeCache(self._piece, limit // 3)
         self._symbols = dict(enumerate(byte_symbols()))
         self._tokens = tok.model.tokenize
 

@@ -81,7 +81,7 @@ def test_every_piece_goes_through_the_transducer(monkeypatch):
     assert set(passed) == pieces
     # a cache holds bounded bytes, and no long part
     cache = bpe.coder(PATH)[2]
-    assert all(len(p if isinstance(p, str) else p[0]) <= cache.LONGEST for p in cache)
+    assert all(len(p if isinstance(p, str) else p[0]) <= bytebpe.LONGEST for p in cache)
     cache.limit = 1
     list(bpe.by_slices(PATH, ["one two three", "four"], limit=1))
     assert len(cache) <= 2
