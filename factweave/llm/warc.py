@@ -29,11 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each, written
+from .common import each, give_back, written
 
 #: The seekable format's skippable-frame magic and its footer's magic.
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
-FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 16 << 20
+FRAME_BYTES, BUNDLE_BYTES, BUNDLE_RECORDS = 1 << 20, 16 << 20, 20_000
 MIN_REVISIT = 100
 SALTS = 32
 
@@ -151,11 +151,12 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                 raw = record(kind, page_id, url, payload, digest, len(payload), refers)
                 out.add(page_id, raw)
                 n += 1
-                if out.size >= BUNDLE_BYTES:
+                if out.size >= BUNDLE_BYTES or n >= BUNDLE_RECORDS:
                     yield flush()
                     out, n = BundleWriter(), 0
         if n:
             yield flush()
+        give_back()
 
     schema = "bundle string, payload binary, index array<struct<id: bigint, frame: int, offset: bigint, length: bigint>>"
     return written(rows.mapInArrow(write, schema), "warc")
