@@ -56,7 +56,13 @@ def pack_shard(doc_ids: list, parts: list[np.ndarray], start: int) -> bytes:
     padded[: len(ids)] = size - 1
     packed = padded.view("<u4")  # two bits of each of four bytes, side by side
     control = (packed | packed >> 6 | packed >> 12 | packed >> 18).astype(np.uint8)
-    data = rank.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width) < size[:, None]]
+    at = np.cumsum(size, dtype=np.int64)
+    data = np.empty(at[-1] if len(at) else 0, np.uint8)
+    at -= size
+    data[at] = rank.astype(np.uint8)
+    for k in range(1, width):
+        longer = np.flatnonzero(size > k)
+        data[at[longer] + k] = (rank[longer] >> 8 * k).astype(np.uint8)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     names = np.array([d or 0 for d in doc_ids], np.int64)
     lengths = np.array([len(p) for p in parts], np.uint64)
@@ -80,10 +86,11 @@ def read_shard(raw: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
     known, names, lengths = take(np.uint8, n), take(np.int64, n), take(np.uint64, n).astype(np.int64)
     used, control, data = take(np.uint32, n_used), take(np.uint8, -(-total // 4)), take(np.uint8, n_data)
     size = LENGTHS[control].ravel()[:total]
-    width = int(size.max(initial=1))
-    cells = np.zeros((total, 4), np.uint8)
-    cells[:, :width][np.arange(width) < size[:, None]] = data
-    rank = cells.view("<u4").ravel()
+    at = np.cumsum(size, dtype=np.int64) - size
+    rank = data[at].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
+        longer = np.flatnonzero(size > k)
+        rank[longer] |= data[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return [d if k else None for d, k in zip(names.tolist(), known.tolist())], lengths, used[rank] if total else np.zeros(0, np.uint32), start
 
 
@@ -93,7 +100,7 @@ class Library:
     `parts` holds the ids, as bytes, of text parts that start with a space; the pieces of a part go to the library's model.
     A tokenizer of another kind than plain byte-level BPE (`plain` is false) encodes each text whole."""
 
-    def __init__(self, path: str, limit: int = 160 << 20):
+    def __init__(self, path: str, limit: int = 176 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # an executor's cores already have a Python worker each
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -106,8 +113,9 @@ class Library:
         self.special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
         self.parts = MadeCache(self._part, limit)
         self.heads = MadeCache(self.whole, limit // 8)  # texts' first parts, without a space before them
-        self._pieces = MadeCache(self._piece, limit // 3)
+        self._pieces = MadeCache(self._piece, limit // 8)
         self._symbols = dict(enumerate(byte_symbols()))
+        self._space = self._symbols[32]
         self._tokens = tok.model.tokenize
 
     def whole(self, text: str) -> bytes:
@@ -121,11 +129,15 @@ class Library:
         return array.array(self.kind, [t.id for t in self._tokens(symbols)]).tobytes()
 
     def _part(self, part: str) -> bytes:
-        """Most parts are letters and then marks, which are two pieces; the pattern cuts the others."""
-        pieces, stem = self._pieces, part.rstrip(MARKS)
+        """Most parts are letters and then marks, which are two pieces, the first a part itself; the pattern cuts others."""
+        stem = part.rstrip(MARKS)
         if not stem.isalpha():
+            pieces = self._pieces
             return b"".join([pieces[p] for p in PIECES.findall(" " + part)])
-        return pieces[" " + stem] + pieces[part[len(stem) :]] if len(stem) < len(part) else pieces[" " + part]
+        if len(stem) < len(part):
+            return self.parts[stem] + self._pieces[part[len(stem) :]]
+        symbols = self._space + part if part.isascii() else (" " + part).encode().decode("latin-1").translate(self._symbols)
+        return array.array(self.kind, [t.id for t in self._tokens(symbols)]).tobytes()
 
 
 def library(path: str) -> Library:
