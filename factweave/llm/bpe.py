@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bytebpe import LONGEST, PIECES, ByteBPE, PartCache, words_of
+from .bytebpe import LONGEST, PIECES, ByteBPE, PartCache, pieces_of, words_of
 from .common import each, give_back
 
 #: Bytes of pieces that a pass over ids keeps; the columns beside them need the memory.
@@ -44,7 +44,8 @@ def release(path: str) -> None:
 
 
 def packed(bpe: ByteBPE, ids: list[int]) -> tuple[int, str, bytes]:
-    return len(ids), "".join([f",{i}" for i in ids]), b"".join([bpe.token_bytes[i] for i in ids])
+    digits, raw = bpe.token_digits, bpe.token_bytes
+    return len(ids), "".join([digits[i] for i in ids]), b"".join([raw[i] for i in ids])
 
 
 def encode_pieces(path: str, wanted: set[str], limit: int) -> PartCache:
@@ -54,11 +55,14 @@ def encode_pieces(path: str, wanted: set[str], limit: int) -> PartCache:
     pieces.trim()
     pieces.loose = {}
     lack = list(wanted.difference(pieces))
+    loose, total = pieces.loose, 0
     for p, ids in zip(lack, bpe.transduce([p.encode() for p in lack])):
         if len(p) <= LONGEST:
-            pieces.keep(p, ids, 200 + len(p) + 36 * len(ids))
+            pieces[p] = ids
+            total += 200 + len(p) + 36 * len(ids)
         else:
-            pieces.loose[p] = ids
+            loose[p] = ids
+    pieces.size += total
     return pieces
 
 
@@ -68,15 +72,17 @@ def fetch(path: str, lists: list[list]) -> None:
     parts.trim()
     parts.loose = {}
     new = list(set().union(*lists).difference(parts))
-    found = [PIECES.findall(p[0] if isinstance(p, tuple) else " " + p) for p in new]
+    found = [PIECES.findall(p[0]) if isinstance(p, tuple) else pieces_of(p) for p in new]
     pieces = encode_pieces(path, set().union(*found), parts.limit)
+    loose, total = parts.loose, 0
     for part, own in zip(new, found):
-        value = packed(bpe, [i for p in own for i in pieces[p]])
-        size = len(part) if isinstance(part, str) else len(part[0])
+        ids = pieces[own[0]] if len(own) == 1 else [i for p in own for i in pieces[p]]
+        value = packed(bpe, ids)
+        size = len(value[2])
+        (parts if size <= LONGEST else loose)[part] = value
         if size <= LONGEST:
-            parts.keep(part, value, 300 + size + len(value[1]) + len(value[2]))
-        else:
-            parts.loose[part] = value
+            total += 300 + size + size + len(value[1])
+    parts.size += total
     pieces.loose = {}
 
 

@@ -22,6 +22,8 @@ import regex
 
 #: Fixed value: the piece pattern of the byte-level pre-tokenizer.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Marks that may stand behind a word; each is neither letter, digit nor white space.
+MARKS = ".,;:!?*$&#%()-_\"'"
 #: A space whose left neighbour isn't white space starts a new piece whatever follows.
 _CUT = re.compile(r"(?<!\s) ")
 _RUN = re.compile(r"\s ")
@@ -69,6 +71,7 @@ class ByteBPE:
             self.made.append(vocab[a + b])
             left.append((vocab[a], vocab[b]))
         self.token_sizes = list(map(len, self.token_bytes))
+        self.token_digits = [f",{i}" for i in range(size)]
         self.lookahead = self._lookahead(left)
         self.window = max(1024, 4 * self.lookahead)
         keys = np.fromiter(self.merge, np.int64, len(self.merge))
@@ -269,7 +272,15 @@ def words_of(text: str) -> list[list[str]]:
     return out
 
 
-#: Characters of the longest part that a cache keeps.
+def pieces_of(part: str) -> list[str]:
+    """The pieces of a part, with the space before it. Most are letters and then marks; the pattern cuts the others."""
+    stem = part.rstrip(MARKS)
+    if not stem.isalpha():
+        return PIECES.findall(" " + part)
+    return [" " + part] if len(stem) == len(part) else [" " + stem, part[len(stem) :]]
+
+
+#: Characters (or bytes) of the longest part that a cache keeps.
 LONGEST = 64
 
 
@@ -285,10 +296,6 @@ class PartCache(dict):
     def __missing__(self, part):
         return self.loose[part]
 
-    def keep(self, part, value, cost: int) -> None:
-        self[part] = value
-        self.size += cost
-
     def trim(self) -> None:
         """Drop all if the limit is reached."""
         if self.size >= self.limit:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import PIECES, MadeCache, byte_symbols, words_of
+from .bytebpe import MARKS, PIECES, MadeCache, byte_symbols, words_of
 from .common import each, written
 
 _HEAD = struct.Struct("<8sIQQIQ")
@@ -33,8 +33,6 @@ LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype
 SHARD_IDS = 1 << 20
 #: Ranges of ids that a table is dealt into at most: at 2,048 rows each, 537 million rows; ranges are longer beyond.
 MAX_BUCKETS = 1 << 18
-#: Marks that may stand behind a word; each is neither letter, digit nor white space.
-MARKS = ".,;:!?*$&#%()-_\"'"
 
 _LIBRARY: dict[str, Library] = {}
 
