@@ -62,6 +62,14 @@ def test_transducer_is_stable_whatever_the_window(monkeypatch):
         assert " ".join(" ".join(w) for w in bytebpe.words_of(t)) == t
 
 
+def test_pieces_of_parts():
+    rng = random.Random(77)
+    signs = "abzé日ß.,;:!?*$&#%()-_\"'0١²\u00a0\u200b🙂s t"
+    parts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 9))) for _ in range(20_000)]
+    parts += ["it's", "dogs'", "'tis", "we'll.", "x''s", "don't!!", "naïve,“", "a_b", "--", ""]
+    assert [bytebpe.pieces_of(p) for p in parts] == [bytebpe.PIECES.findall(" " + p) for p in parts]
+
+
 def test_every_piece_goes_through_the_transducer(monkeypatch):
     monkeypatch.setattr(bpe, "_CODERS", {})
     passed: list[bytes] = []
