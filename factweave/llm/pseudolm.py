@@ -40,6 +40,8 @@ COMMON = 1 << 18
 WINDOW, DIM = 2, 16
 ROUNDS, RATE, BATCH = 2, 0.8, 8192
 CHUNK = 4096
+#: Outputs of the network, before the softmax, lie within this: no exponential leaves its range.
+LIMIT = 60
 
 
 def _sizes(classes: int) -> tuple[tuple[int, ...], ...]:
@@ -146,7 +148,7 @@ class Model:
         classes = self.classes
         order = np.argsort(ids % classes, kind="stable")
         kind, own, hidden, n = ids[order] % classes, ids[order] // classes, self.hidden(around[:, order]), np.arange(len(ids))
-        found = _normalised(hidden @ wc, n, kind)
+        found = np.concatenate([np.zeros(0), *(_normalised(hidden[k : k + 4096] @ wc, n[: len(ids) - k][:4096], kind[k : k + 4096]) for k in range(0, len(ids), 4096))])
         cuts = np.searchsorted(kind, np.arange(classes + 1)).tolist()
         for c in range(classes):
             i, j = cuts[c], cuts[c + 1]
@@ -194,8 +196,8 @@ class Model:
 
 
 def _softmax(z: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Probabilities of each row, for training: outputs beyond 60 count as 60."""
-    np.clip(z, -60, 60, out=z)
+    """Probabilities of each row."""
+    np.clip(z, -LIMIT, LIMIT, out=z)
     np.exp(z, out=z)
     z /= (z @ ones)[:, None]
     return z
@@ -203,7 +205,7 @@ def _softmax(z: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def _normalised(z: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log-probability of one output a row."""
-    z -= z.max(1, keepdims=True)
+    np.clip(z, -LIMIT, LIMIT, out=z)
     own = z[n, at]
     np.exp(z, out=z)
     return own - np.log(z @ np.ones(z.shape[1], z.dtype))

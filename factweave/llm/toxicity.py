@@ -16,7 +16,7 @@ than twice as many; what comes to the driver are their distinct word buckets, an
 map-only over whole texts.
 
 Defined cases: null and empty texts get the score of no words; ties at 0.5 are predicted toxic; a table without
-confirmed rows scores 0 everywhere (to eleven places); label rows without a document and null labels are ignored; an
+confirmed rows scores below 1e-20 everywhere; label rows without a document and null labels are ignored; an
 id that is labelled both ways counts as toxic; repeated rows count each; other columns are kept; a long text is
 counted slice by slice.
 """
