@@ -69,7 +69,7 @@ def each(column):
 
 
 def byte_slices(offs: np.ndarray, limit: int = SLICE_BYTES):
-    """Yield (i, j) row ranges of about limit bytes; a longer row stands alone."""
+    """Yield (i, j) row ranges of about limit bytes; a longer row stands alone, for its user to take in blocks."""
     i, n = 0, len(offs) - 1
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + limit, "right")) - 1
@@ -115,7 +115,21 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Hash every word (maximal run of WORD_BYTE in the ASCII-lower-cased bytes) of the rows data[offs[i]:offs[i+1]].
 
     Returns (hash uint64, row int64, length int64) in text order. A word is hashed as 64-byte blocks whose
-    position-weighted sums are mixed, so its length is not bounded."""
+    position-weighted sums are mixed, so its length is not bounded. Long data is taken in blocks that end between words."""
+    if len(data) <= 2 * SLICE_BYTES:
+        return _word_hashes(data, offs)
+    found, i = [], 0
+    while i < len(data):
+        j = min(len(data), i + SLICE_BYTES)
+        while j < len(data) and WORD_BYTE[LOWER[data[j - 1]]]:  # on to the word's end
+            ahead = np.flatnonzero(~WORD_BYTE[LOWER[data[j : j + 4096]]])
+            j = min(len(data), j + 4096) if not len(ahead) else j + int(ahead[0]) + 1
+        found.append(_word_hashes(data[i:j], np.clip(offs, i, j) - i))
+        i = j
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = LOWER[data]
     is_word = WORD_BYTE[low]
     n = len(low)
@@ -148,8 +162,8 @@ def span_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     v ^= v >> np.uint64(29)
     v *= _MIX1
     if length.max(initial=0) > 256:
-        v ^= mix64((within >> 8).astype(np.uint64)) * (within >= 256)
-        v *= _MIX2
+        far = np.flatnonzero(within >= 256)  # of long words only: a word's hash depends on the word alone
+        v[far] = (v[far] ^ mix64((within[far] >> 8).astype(np.uint64))) * _MIX2
     first = np.cumsum(length) - length
     return mix64(np.add.reduceat(v, first) ^ (length.astype(np.uint64) << np.uint64(32)))
 

@@ -47,13 +47,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Self-loops and repeated edges are harmless; nodes without another node don't appear; an empty edge list
     gives an empty table. Each round is written to the shared folder, so a lost executor repeats one round."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    digest = None
+    digest = before = None
     for _ in range(max_rounds):
-        # done when every node has one edge, and no node that is pointed at points elsewhere
+        # done when a round changes no edge: sums are looked at first, and edges themselves if those agree
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).head()
-        if now[0] == 0 or now == digest:
+        if now[0] == 0 or now == digest and edges.join(before, ["a", "b"], "left_anti").isEmpty():
             break
-        digest = now
+        digest, before = now, edges
         edges = written(_star(_star(edges, True), False), "stars")
     else:
         raise RuntimeError("components did not settle")

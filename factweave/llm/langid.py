@@ -12,7 +12,8 @@ the probabilities honest there, and a text is rejected if its probability or the
 the training had seen is below nearly all of that held-back fifth (REJECT of it).
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and rejected; ties go to the
-first language in order; other columns are kept; without any labelled row every document is `und`.
+first language in order; other columns are kept; without any labelled row every document is `und`; a text of
+more than two megabytes is averaged over blocks of one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, byte_slices, give_back, utf8_parts
+from .common import LOWER, SLICE_BYTES, byte_slices, give_back, utf8_parts
 
 BUCKETS, DIM = 1 << 15, 16
 SAMPLE, LANGS = 4000, 1000
@@ -74,6 +75,15 @@ class Model:
         for i, j in byte_slices(offs):
             own = offs[i : j + 1] - offs[i]
             size = np.maximum(np.diff(own), 1)
+            if own[-1] > 2 * SLICE_BYTES and k:  # a long text in blocks, with a space around each
+                for at in range(int(offs[i]), int(offs[j]), SLICE_BYTES):
+                    part = data[at : min(at + SLICE_BYTES, int(offs[j]))]
+                    bucket = trigram_buckets(part, np.array([0, len(part)]))[0]
+                    logits[i] += [self.scores[:, c][bucket].sum(dtype=np.float64) for c in range(k)]
+                    known[i] += self.seen[bucket].sum()
+                logits[i] /= size[0]
+                known[i] /= size[0]
+                continue
             bucket, at = trigram_buckets(data[offs[i] : offs[j]], own)
             full = np.flatnonzero(np.diff(at))
             if len(full):
