@@ -389,6 +389,52 @@ def test_warc_of_hot_and_long_payloads(spark):
     assert all(got[i]["payload_digest"] == hashlib.sha256(t.encode()).hexdigest() for i, _, t in rows)
 
 
+def test_long_texts_are_taken_in_blocks(spark, monkeypatch):
+    from factweave.llm import common
+
+    rng = random.Random(70)
+    texts = [words(rng, 4000), "", "x" * 9000 + " end", "é" * 3000 + " 日本 " * 900, words(rng, 3)]
+    data, offs = common.utf8_parts(pseudolm.pa.array(texts))
+    whole = common._word_hashes(data, offs)
+    plain = [len(w) for w in whole]
+    for size in (50, 1000, 5000):
+        monkeypatch.setattr(common, "SLICE_BYTES", size)
+        blocks = word_hashes(data, offs)
+        assert [len(b) for b in blocks] == plain and all((a == b).all() for a, b in zip(whole, blocks))
+    monkeypatch.undo()
+    big = words(rng, 500_000)  # beyond two megabytes
+    assert len(big) > 2 * common.SLICE_BYTES
+    rows = [(1, big, "aa"), (2, "vwx yz zyx " * 5, "zz"), *((k, words(rng, 30), "aa") for k in range(10, 40)), *((k, "vwx zyx wv xy " * 4, "zz") for k in range(50, 80))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(df, langid.fit(df)).collect()}
+    assert got[1]["lang_pred"] == "aa" and got[2]["lang_pred"] == "zz"
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS), -1.0, 0.1)
+    assert all(abs(r["score"] - 1 / (1 + np.e)) < 1e-9 for r in toxicity.score(df, model).collect())
+    scored = {r["doc_id"]: r for r in pseudolm.score(df, pseudolm.fit(df, rounds=0)).collect()}
+    assert scored[1]["n_tokens"] == 500_000 and scored[1]["pll"] < 0
+    near = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame([(1, big), (2, big + " tail")], "doc_id bigint, text string")).collect()}
+    assert near[2]["component_id"] == 1
+    fp = {r["doc_id"]: r for r in fingerprints.compare_edited(df.where("doc_id < 3")).collect()}
+    assert fp[1]["n_chars"] == len(big) and fp[1]["fingerprint"] == fingerprints.as_hex(fingerprints.fingerprint(big))
+    lib = tokenizers.Tokenizer.from_file(PATH)
+    ids = lib.encode(big, add_special_tokens=False).ids
+    assert bpe.round_trip(df.where("doc_id = 1"), PATH).head()["n_tokens"] == len(ids)
+    assert tokenfile.read_tokens(tokenfile.write_tokens(df.where("doc_id = 1"), PATH)).head()["ids_crc32"] == zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
+
+
+def test_ties_and_repeats(spark):
+    same = spark.createDataFrame([(k, "one and the same text", "aa" if k % 2 else "bb") for k in range(40)], "doc_id bigint, text string, lang string")
+    got = langid.identify(same, langid.fit(same)).collect()
+    assert len({(r["lang_pred"], r["score"]) for r in got}) == 1 and got[0]["lang_pred"] in ("aa", "bb")
+    model = toxicity.fit(same, spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0)], "doc_id bigint, toxic int"))
+    assert len({r["score"] for r in toxicity.score(same, model).collect()}) == 1
+    assert toxicity.fit(same, spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id bigint, toxic int")).prior == model.prior == 0.5
+    scored = pseudolm.score(same, pseudolm.fit(same)).collect()
+    assert len({r["pll"] for r in scored}) == 1
+    tie = langid.Model(["aa", "bb"], np.zeros((langid.BUCKETS, 2), np.float32), np.zeros(2), np.ones(langid.BUCKETS, bool), 0.0, 0.0)
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(same, tie).collect()} == {("aa", 0.5)}
+
+
 def test_language(spark, odd, empty):
     rng = random.Random(1)
     make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))
