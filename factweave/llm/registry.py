@@ -97,6 +97,23 @@ SELECT doc_id, count(DISTINCT item_id) AS n_items, min(item_id) AS item_id, max(
 FROM b WHERE matched >= ceil(0.8 * width) GROUP BY doc_id
 """
 
+#: Every string of 100 bytes of every document; all but its first place repeat.
+_OP3 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+     s AS (SELECT doc_id, pos, array_slice(b, pos + 1, pos + 100) AS w FROM (SELECT doc_id, b, unnest(range(0, greatest(octet_length(b) - 99, 0))) AS pos FROM d)),
+     r AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM s) WHERE k > 1),
+     i AS (SELECT doc_id, pos, sum(CASE WHEN pos <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run
+           FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM r)),
+     g AS (SELECT doc_id, min(pos) AS start, max(pos) + 100 AS stop FROM i GROUP BY doc_id, run),
+     k AS (SELECT doc_id, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS start, start AS stop FROM g
+           UNION ALL SELECT d.doc_id, coalesce(max(stop), 0), max(octet_length(b)) FROM d LEFT JOIN g ON d.doc_id = g.doc_id GROUP BY d.doc_id),
+     t AS (SELECT k.doc_id, sha256(unhex(string_agg(hex(array_slice(b, start + 1, stop)), '' ORDER BY start))) AS kept, sum(stop - start) AS n
+           FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id),
+     c AS (SELECT doc_id, count(*) AS spans FROM g GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, (octet_length(b) - n)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, kept AS kept_sha256
+FROM d JOIN t ON d.doc_id = t.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
+"""
+
 _OP7 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
      h AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS digest FROM p),
@@ -109,4 +126,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": _OP6, "op7_warc": _OP7}
+    return {"op3_suffix_dedup": _OP3, "op6_decontamination": _OP6, "op7_warc": _OP7}
