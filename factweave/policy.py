@@ -4,6 +4,10 @@ A policy is a list of rules: allow or deny, for an operation (read, create, add,
 namespace or an attribute, when an expression holds for the entity and the principal. Reading needs an allowing
 rule and no denying one, for the namespace or the attribute. A view is filtered at its scans, with sets of
 entities that are computed once by joins; rules are judged by the current facts even for views of the past.
+
+A transaction's facts are creates (of entities without facts so far), adds, retracts, or retractEntity (where nothing of
+an entity stays); rules for creates are judged by what the transaction makes of the database. Presets are attributes that
+a created entity of their namespace gets, and may not have otherwise.
 """
 
 from __future__ import annotations
@@ -16,8 +20,9 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sources.views import BOOT_LIMIT, Attribute, Facts, coerced
-from .transactions import TxError
+from .functions.values import SLOTS
+from .sources.views import BOOT_LIMIT, DATOMS, VALUE, Attribute, Facts, coerced
+from .transactions import TxError, datom
 
 
 @dataclass(frozen=True)
@@ -81,9 +86,37 @@ def holds(expr: tuple, view: Facts, who: Principal) -> bool | DataFrame:
     raise ValueError(f"unknown expression {kind}")
 
 
+def _known(db: Facts, entities: set[int]) -> set[int]:
+    """Those of some entities (a transaction's) that have facts."""
+    if not entities:
+        return set()
+    return {r[0] for r in db.everything().where(F.col("e").isin(list(entities))).select("e").distinct().collect()}
+
+
 class Policy:
-    def __init__(self, rules: Sequence[Rule]):
-        self.rules = list(rules)
+    def __init__(self, rules: Sequence[Rule], presets: Mapping[str, Any] | None = None):
+        self.rules, self.presets = list(rules), dict(presets or {})
+
+    def completed(self, db: Facts, who: Principal, datoms: list[tuple]) -> list[tuple]:
+        """A transaction's datoms with the presets of the entities that it creates; another value there is refused."""
+        known = _known(db, {d[0] for d in datoms})
+        made: dict[int, set[str]] = {}
+        for d in datoms:
+            if d[-1] and d[1] >= BOOT_LIMIT and d[0] not in known and d[1] in db.schema.by_id:
+                made.setdefault(d[0], set()).add(db.schema.by_id[d[1]].namespace)
+        out = list(datoms)
+        for name, value in self.presets.items():
+            attr, value = db.schema.attr(name), _value(value, who)
+            if value is None:
+                continue
+            value = coerced(attr.kind, value)
+            given = {d[0]: d[3 + VALUE[1:].index(SLOTS[attr.kind])] for d in datoms if d[1] == attr.id and d[-1]}
+            for e, spaces in made.items():
+                if e in given and given[e] != value:
+                    raise TxError("forbidden", f"{attr.ident} is preset")
+                if attr.namespace in spaces and e not in given:
+                    out.append(datom(e, attr, value, datoms[0][-2], True))
+        return out
 
     def _sides(self, view: Facts, who: Principal, op: str, attr: Attribute) -> tuple[list, list]:
         own = [r for r in self.rules if r.op == op and r.covers(attr)]
@@ -118,15 +151,23 @@ class Policy:
         return db.filtered(allowed)
 
     def check(self, db: Facts, who: Principal, datoms: Sequence[tuple]) -> None:
-        """Refuse a transaction's datoms (e, a, ..., op) that the principal may not write."""
+        """Refuse a transaction's datoms that the principal may not write. An old value that an add replaces is part of
+        the add."""
         if who.admin:
             return
         own = [(d[0], db.schema.by_id[d[1]], d[-1]) for d in datoms if d[1] >= BOOT_LIMIT and d[1] in db.schema.by_id]
-        ids = list({e for e, _, _ in own})
-        known = {r[0] for r in db.everything().where(F.col("e").isin(ids)).select("e").distinct().collect()} if ids else set()
+        known = _known(db, {e for e, _, _ in own})
+        gone = {e for e, _, added in own if not added}
+        changed = gone or any(e not in known for e, _, _ in own)  # adds to what is there are judged by what is there
+        after = db.overlaid(db.spark.createDataFrame(list(datoms), DATOMS)) if changed else db
+        gone -= _known(after, gone)
         groups: dict[tuple, set[int]] = {}
+        replaced = {(e, attr.id) for e, attr, added in own if added}
         for e, attr, added in own:
-            groups.setdefault(("retract" if not added else "add" if e in known else "create", attr), set()).add(e)
+            if not added and (e, attr.id) in replaced and not attr.many:
+                continue  # the old value of an add
+            op = ("add" if e in known else "create") if added else "retractEntity" if e in gone else "retract"
+            groups.setdefault((op, attr), set()).add(e)
         for (op, attr), entities in groups.items():  # a read for each rule of each kind of change, however many facts
 
             def met(x, entities=entities) -> set[int]:
@@ -134,6 +175,6 @@ class Policy:
                     return entities if x else set()
                 return {r[0] for r in x.where(F.col("e").isin(list(entities))).select("e").collect()}
 
-            yes, no = self._sides(db, who, op, attr)
+            yes, no = self._sides(after if op == "create" else db, who, op, attr)
             if set().union(*map(met, yes)) != entities or set().union(*map(met, no)):
                 raise TxError("forbidden", f"{op} of {attr.ident} isn't allowed")

@@ -19,7 +19,7 @@ from .shapes import field, identity, shape
 from .sources.scratch import shared_dir
 from .streaming.frames import follow, frames
 from .streaming.live import Live, Replica, changes
-from .transactions import Connection, Store
+from .transactions import Connection, Store, TxError
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: name -> (query, SQL)
@@ -408,6 +408,21 @@ def _fed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x["t"] - t, k) for x, k in zip(feed, kinds)], "t bigint, kind string")
 
 
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conn = _lands(spark, sf_dir)
+    own = Policy([Rule("allow", "create", "land", ("eq", "land/near", ("principal", "id"))), Rule("allow", "add", "land/title", ("eq", "land/near", ("principal", "id")))], presets={"land/near": ("principal", "id")})
+    who = Principal(id=conn.db().entid([":land/code", 6]))
+    conn.transact([{":land/code": 300, ":land/title": "granted"}], policy=own, who=who)  # made near the principal
+    conn.transact([[":db/add", [":land/code", 5], ":land/title", edn.Const("mine")]], policy=own, who=who)
+    refused = 0
+    for ops in ([[":db/add", [":land/code", 9], ":land/title", edn.Const("theirs")]], [[":db/retractEntity", [":land/code", 5]]], [{":land/code": 301, ":land/near": [[":land/code", 1]]}]):
+        try:
+            conn.transact(ops, policy=own, who=who)
+        except TxError:
+            refused += 1
+    return run_query(conn.db(), "[:find ?c ?t :where [?x :land/code ?c] [?x :land/title ?t]]").df.withColumn("refused", F.lit(refused))
+
+
 def _allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = Policy(_POLICY).readable(_lands(spark, sf_dir).db(), Principal(classes=frozenset({"reader"})))
     return run_query(view, "[:find ?c ?t :where [?x :land/code ?c] [(get-else $ ?x :land/title \"hidden\") ?t] (not [?x :land/near _])]").df
@@ -436,4 +451,5 @@ add("replica_frames", _framed, _NATIONS.format("CASE WHEN n_nationkey < 3 THEN '
 add("builder_rule_recursive", _reached, "SELECT n_nationkey::BIGINT AS code FROM nation")
 add("live_latest", _live, "SELECT n_nationkey::BIGINT AS c, CASE WHEN n_nationkey = 2 THEN 'two' ELSE n_name END AS t, 2 AS results FROM nation")
 add("change_feed", _fed, "SELECT t::BIGINT AS t, kind FROM (VALUES (1, 'datoms'), (2, 'skip'), (3, 'resync')) v(t, kind)")
+add("policy_write", _written, "SELECT n_nationkey::BIGINT AS c, CASE WHEN n_nationkey = 5 THEN 'mine' ELSE n_name END AS t, 3 AS refused FROM nation UNION ALL SELECT 300, 'granted', 3")
 add("policy_read", _allowed, _NATIONS.format("CASE WHEN n_nationkey = 5 THEN 'hidden' ELSE n_name END"))

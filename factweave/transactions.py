@@ -37,6 +37,8 @@ class TxError(ValueError):
 FIRST_USER = 1000
 #: Attributes that describe attributes: ident -> (id, kind).
 BOOT = {"db/ident": (10, "string"), "db/valueType": (40, "ref"), "db/cardinality": (41, "ref"), "db/unique": (42, "ref"), "db/index": (43, "boolean"), "db/isComponent": (44, "boolean"), "db/txInstant": (50, "instant"), "db/doc": (62, "string"), "db/clientTx": (63, "string")}
+#: Entities that one transaction may retract along component references: they pass through the driver.
+CLOSURE = 10_000
 #: Transactions of clients that are remembered.
 REPLAYS = 256
 #: Entities that schema values name.
@@ -146,14 +148,18 @@ class Connection:
         rows, report = self._expand(ops)
         return self.db().overlaid(self.spark.createDataFrame(rows, DATOMS)), report
 
-    def transact(self, ops: Sequence, client_id: str | None = None) -> Report:
-        """Apply operations all or none. A client id that was applied before gives its report again."""
+    def transact(self, ops: Sequence, client_id: str | None = None, policy=None, who=None) -> Report:
+        """Apply operations all or none, completed and checked by a policy if one is given. A client id that was applied
+        before gives its report again."""
         if client_id is not None and client_id in self._done:
             known = self._done[client_id]
             if known.datoms is None:  # of an earlier connection: its facts are in the log
                 known.datoms = [tuple(r) for r in self.log().where(F.col("t") == known.t).collect()]
             return known
         rows, report = self._expand(ops)
+        if policy is not None:
+            rows[:] = policy.completed(self.db(), who, rows)
+            policy.check(self.db(), who, rows)
         if client_id is not None:
             rows.append(datom(TX0 + report.t, self.schema.by_id[BOOT["db/clientTx"][0]], json.dumps([client_id, report.tempids]), report.t, True))
         if self.path is not None:
@@ -386,6 +392,8 @@ class Connection:
             rows = view.everything().where(F.col("a").isin(parts) & F.col("e").isin(edge)).select("v_long").collect()
             edge = [r[0] for r in rows if r[0] not in seen]
             seen.update(dict.fromkeys(edge))
+            if len(seen) > CLOSURE:
+                raise TxError("closure", f"an entity has more than {CLOSURE} parts; retract them in several transactions")
         return list(seen)
 
     def _check_unique(self, view: Facts, added, removed, held) -> None:
