@@ -7,7 +7,8 @@ with numpy, without a loop over tokens. Shards are rows (bucket, seq, start, n_i
 table in the shared folder, so the write is committed by Spark and a lost task only writes again.
 
 Defined cases: a null or empty text has only the end id; null document ids come first; equal document ids are
-ordered by their tokens; an empty table gives no shards; documents longer than a shard stand alone in one.
+ordered by their tokens; an empty table gives no shards; documents longer than a shard stand alone in one; a
+document's ids must fit a row, which holds two gigabytes.
 """
 
 from __future__ import annotations
