@@ -42,6 +42,7 @@ class Relation:
     consts: Mapping[str, Any] = field(default_factory=dict)
     nullable: frozenset = frozenset()
     key: frozenset | None = None  # variables that no two rows share all of; None: rows may repeat
+    single: bool = False  # a literal of one row, which multiplies nothing
 
     def val(self, name: str) -> Val:
         return Val(self.df[f"`{name}`"], self.kinds[name], self.consts.get(name))
@@ -91,7 +92,7 @@ def join(ctx: Context, a: Relation | None, b: Relation, how: str = "inner") -> R
             conds.append(x.col == y.col)
         else:
             conds.append(equal(x, y))
-    if not shared and ctx.budget is not None and a.consts.keys() != a.kinds.keys():
+    if not shared and ctx.budget is not None and a.consts.keys() != a.kinds.keys() and not (a.single or b.single):
         cells = a.df.count() * right.count() * (len(a.kinds) + len(b.kinds))
         if cells > ctx.budget:
             raise BudgetError(f"a product of {cells} cells is over the budget of {ctx.budget}")
@@ -231,7 +232,7 @@ def star(ctx: Context, own: tuple[Pattern, ...], bound: Relation | None) -> Rela
 def solve(ctx: Context, rel: Relation | None, clauses: Sequence) -> Relation | None:
     todo = stars(ctx, list(clauses))
     while todo:
-        k = _next(rel, todo)
+        k = _next(ctx, rel, todo)
         rel = apply(ctx, rel, todo.pop(k))
     return rel
 
@@ -257,7 +258,40 @@ def _positive(c) -> bool:
     return isinstance(c, (Pattern, tuple, RuleCall, Or)) or isinstance(c, Call) and c.binding is not None
 
 
-def _next(rel: Relation | None, todo: Sequence) -> int:
+def _given(ctx: Context, c) -> set[str]:
+    """Variables that a clause binds through patterns, whatever is bound before it."""
+    if isinstance(c, (Pattern, tuple)):
+        return {v.name for v in _vars(c)}
+    if isinstance(c, Or) and c.branches:
+        own = set.intersection(*[set().union(*[_given(ctx, x) for x in b]) for b in c.branches])
+        return (own & {v.name for v in c.join} if c.join is not None else own) - {v.name for v in c.required}
+    if isinstance(c, RuleCall) and c.name in ctx.rules:
+        if c.name in ctx.solved or c.name in _reach(ctx.rules, c.name):
+            return {v.name for v in vars_of(c)}
+        bodies = [(head, set().union(*[_given(ctx, x) for x in body])) for head, body in ctx.rules[c.name]]
+        return {a.name for k, a in enumerate(c.args) if isinstance(a, Var) and all(k < len(head) and head[k].name in own for head, own in bodies)}
+    return set()
+
+
+def _waits(ctx: Context, c: Call, bound: set[str], todo: Sequence) -> bool:
+    """Whether ground values are better compared, once other clauses have bound their variables, than multiplied."""
+    own = {v.name for v in c.binding.vars if v != BLANK}
+    if bare(c.fn) != "ground" or c.binding.kind not in ("coll", "rel") or isinstance(c.args[0], Var) or len(c.args[0]) < 2 or not bound or own & bound:
+        return False
+    reached, links = set(bound), []
+    for x in todo:
+        if not isinstance(x, Call) and _positive(x):
+            names, given = {v.name for v in _vars(x)}, _given(ctx, x)
+            if names <= given:
+                links.append(given)
+            elif names & own:
+                return False  # needs the values
+    while near := [g for g in links if g & reached and not g <= reached]:
+        reached = reached.union(*near)
+    return bool(own & reached)
+
+
+def _next(ctx: Context, rel: Relation | None, todo: Sequence) -> int:
     bound = set(rel.kinds) if rel else set()
     best, score = None, None
     for k, c in enumerate(todo):
@@ -266,7 +300,8 @@ def _next(rel: Relation | None, todo: Sequence) -> int:
         if isinstance(c, Call) and predicate(c.fn) and c.binding is None or isinstance(c, Not) or isinstance(c, Call):
             if not need <= bound:
                 continue
-            rank = 0
+            # behind the clauses that bind its variables
+            rank = 4 if isinstance(c, Call) and c.binding is not None and _waits(ctx, c, bound, todo) else 0
         else:
             if not need <= bound:
                 continue
@@ -427,7 +462,7 @@ def bind_rows(ctx: Context, binding: Binding, value) -> Relation:
     cells = [tuple(None if r[k] is None else slots(r[k]) if kinds[v.name] == "any" else coerced(kinds[v.name], r[k]) for k, v in places) for r in rows]
     df = ctx.spark.createDataFrame(list(dict.fromkeys(cells)), schema) if places else ctx.spark.range(1 if rows else 0).select(F.lit(1).alias("__one"))
     single = {v.name: rows[0][k] for k, v in places if len(rows) == 1 and rows[0][k] is not None}
-    return Relation(df, kinds, single, frozenset(null), frozenset(kinds))
+    return Relation(df, kinds, single, frozenset(null), frozenset(kinds), len(set(cells)) < 2)
 
 
 def _attribute_call(ctx: Context, rel: Relation, name: str, c: Call) -> Relation:

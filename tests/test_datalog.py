@@ -230,6 +230,37 @@ def test_errors(coast):
     assert parse_query(parse_query("[:find ?t :where [?p :port/title ?t]]")).find
 
 
+def test_ground_values_are_compared_not_multiplied(coast):
+    """Lists that other clauses bind, and literals of one row, are no products; others are, and stay guarded."""
+    db = coast[0].db()
+    ask = lambda clauses, more="", budget=1: q(db, f"[:find [?t ...] {more} :where [?p :port/title ?t] {clauses}]", budget=budget)
+    codes = ["VEL", "LOM"]
+    told = [p["title"] for c, p in PORTS.items() if c in codes]
+    listed = '[(ground ["VEL" "LOM" "nowhere"]) [?c ...]]'
+    assert as_set(ask(f"(or-join [?p] [?p :port/berths -1] (and {listed} [?p :port/code ?c]))")) == as_set(told)
+    assert as_set(ask(f"{listed} (or [?p :port/code ?c] [?p :port/title ?c])")) == as_set(told)
+    assert as_set(ask(f"{listed} (called ?p ?c)", ":rules [[(called ?x ?n) [?x :port/code ?n]]]")) == as_set(told)
+    both = [p["title"] for c, p in PORTS.items() if c in codes and p.get("berths") in (4, 5, 12)]
+    assert as_set(ask(f"{listed} [(ground [4 5 12]) [?b ...]] [?p :port/code ?c] [?p :port/berths ?b]")) == as_set(both)
+    pairs = [p["title"] for c, p in PORTS.items() if (c, p.get("berths")) in {(x, y) for x in PORTS for y in (4, 5, 12)}]
+    assert as_set(ask(f"[(ground [{' '.join(f'[{chr(34)}{c}{chr(34)} {b}]' for c in PORTS for b in (4, 5, 12))}]) [[?c ?b]]] [?p :port/code ?c] [?p :port/berths ?b]")) == as_set(pairs)
+    for one in ("[5]", "[nil]", "[5 5]"):
+        assert len(ask(f"[(ground {one}) [?x ...]]")) == len(PORTS)
+    # a rule that takes the values from outside has them first
+    below = ":rules [[(below ?x ?n) [?x :port/berths ?m] [(< ?m ?n)]]]"
+    assert as_set(ask("[(ground [4 5]) [?n ...]] (below ?p ?n)", below, None)) == as_set([t for t, b in pick("title", "berths") if b < 5])
+    with pytest.raises(BudgetError):
+        ask("[(ground [4 5]) [?n ...]]")
+
+
+def test_builder_lists_under_the_budget(coast, monkeypatch):
+    from factweave import builder
+
+    monkeypatch.setattr(builder, "run_query", lambda db, text: run_query(db, text, budget=1))
+    either = builder.entities("port").either(lambda p: p.where("berths", "=", -1), lambda p: p.where("code", "in", ["VEL", "LOM"])).select("title")
+    assert as_set(r["title"] for r in either.run(coast[0].db())) == as_set([PORTS["VEL"]["title"], PORTS["LOM"]["title"]])
+
+
 def test_random_queries_against_nested_loops(spark):
     """Joins, not, or, comparisons over random facts: the compiler and the naive evaluator agree."""
     rng = random.Random(77)
