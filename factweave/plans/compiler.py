@@ -6,8 +6,8 @@ as their variables are bound, so Catalyst sees them next to the scans. Rewrites
 single-valued attributes of one entity are read in one scan (`View.star`), the optional idiom (a path, or not
 that path and null) is a left join, rules without recursion are inlined, and recursive ones run to a fixpoint on
 new rows only, each round written to the shared folder. A relation knows variables that identify its rows (an entity
-identifies its single values, and a join on them keeps the other side's), so results that hold them are sets already
-and aren't made distinct, which would be a shuffle.
+identifies its single values, and a join on them keeps the other side's; a table's key stands for its entity), so results that
+hold them are sets already and aren't made distinct, which would be a shuffle.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ class Relation:
     nullable: frozenset = frozenset()
     key: frozenset | None = None  # variables that no two rows share all of; None: rows may repeat
     single: bool = False  # a literal of one row, which multiplies nothing
+    names: Mapping[str, str] = field(default_factory=dict)  # variables whose value tells another's, an entity's
 
     def val(self, name: str) -> Val:
         return Val(self.df[f"`{name}`"], self.kinds[name], self.consts.get(name))
@@ -53,9 +54,12 @@ class Relation:
     def only(self, names: Sequence[str], distinct: bool = True) -> Relation:
         df = self.df.select(*[self.df[f"`{n}`"] for n in names])
         kept = self.key if self.key is not None and self.key <= set(names) else None
+        told = {e: n for n, e in self.names.items() if n in names}
+        if kept is None and self.key is not None and self.key <= {*names, *told}:
+            kept = frozenset(n if n in names else told[n] for n in self.key)
         if distinct and kept is None:
             df, kept = df.distinct(), frozenset(names)
-        return Relation(df, {n: self.kinds[n] for n in names}, {n: c for n, c in self.consts.items() if n in names}, self.nullable & set(names), kept)
+        return Relation(df, {n: self.kinds[n] for n in names}, {n: c for n, c in self.consts.items() if n in names}, self.nullable & set(names), kept, names={n: e for n, e in self.names.items() if n in names and e in names})
 
 
 @dataclass
@@ -92,10 +96,15 @@ def join(ctx: Context, a: Relation | None, b: Relation, how: str = "inner") -> R
             conds.append(x.col == y.col)
         else:
             conds.append(equal(x, y))
-    if not shared and ctx.budget is not None and a.consts.keys() != a.kinds.keys() and not (a.single or b.single):
+    product = not shared and b.kinds and a.consts.keys() != a.kinds.keys() and not (a.single or b.single)
+    if product and ctx.budget is not None:
         cells = a.df.count() * right.count() * (len(a.kinds) + len(b.kinds))
         if cells > ctx.budget:
             raise BudgetError(f"a product of {cells} cells is over the budget of {ctx.budget}")
+    elif product and how == "inner":
+        # its work is its pairs, not its bytes: by bytes, files of a few MB would be a task or two
+        a = replace(a, df=a.df.repartition(max(int(ctx.spark.conf.get("spark.sql.shuffle.partitions")), ctx.spark.sparkContext.defaultParallelism)))
+        right = right.hint("rebalance").hint("shuffle_replicate_nl")
     joined = a.df.join(right, reduce(lambda p, q: p & q, conds), how) if conds else (a.df.crossJoin(right) if how == "inner" else a.df.join(right, F.lit(True), how))
     new = [n for n in b.kinds if n not in a.kinds]
     df = joined.select(*[a.df[f"`{n}`"] for n in a.kinds], *[right[f"`__r_{n}`"].alias(n) for n in new])
@@ -103,7 +112,9 @@ def join(ctx: Context, a: Relation | None, b: Relation, how: str = "inner") -> R
     key = None
     if a.key is not None and b.key is not None:
         key = a.key if b.key <= set(shared) else b.key if how == "inner" and a.key <= set(shared) else a.key | b.key
-    return Relation(df, {**a.kinds, **{n: b.kinds[n] for n in new}}, {**b.consts, **a.consts}, a.nullable | b.nullable | (frozenset(new) if how == "left" else frozenset()), key)
+    # where a left join finds nothing, an empty value tells no entity that was there before
+    names = {**{n: e for n, e in b.names.items() if (n in new and e in new if how == "left" else all(a.kinds.get(x, b.kinds[x]) == b.kinds[x] for x in (n, e)))}, **a.names}
+    return Relation(df, {**a.kinds, **{n: b.kinds[n] for n in new}}, {**b.consts, **a.consts}, a.nullable | b.nullable | (frozenset(new) if how == "left" else frozenset()), key, names=names)
 
 
 def anti(ctx: Context, a: Relation, b: Relation, on: Sequence[str]) -> Relation:
@@ -159,7 +170,8 @@ def pattern(ctx: Context, p: Pattern, bound: Relation | None) -> Relation:
     shown = df.select(*[c.alias(n) for n, (c, _) in out.items()]) if out else df.select(F.lit(1).alias("__one")).limit(1)
     if not out or p.v == BLANK and (key is None or attr.many):
         shown, key = shown.distinct(), frozenset(out)
-    return Relation(shown, {n: k for n, (_, k) in out.items()}, key=key)
+    named = not isinstance(a, Var) and isinstance(p.e, Var) and isinstance(p.v, Var) and BLANK not in (p.e, p.v) and p.e != p.v and view.identifies(attr)
+    return Relation(shown, {n: k for n, (_, k) in out.items()}, key=key, names={p.v.name: p.e.name} if named else {})
 
 
 def _matches(view: View, x, col: Column, kind: str) -> Column:
@@ -213,6 +225,7 @@ def star(ctx: Context, own: tuple[Pattern, ...], bound: Relation | None) -> Rela
     if e.name in known:
         df = df.where(_matches(view, known[e.name], df["e"], "ref"))
     out = {e.name: (df["e"], "ref")}
+    names = {}
     for p, attr in zip(own, attrs):
         col = df[f"`{attr.ident}`"]
         x = known.get(p.v.name, p.v) if isinstance(p.v, Var) and p.v != BLANK else p.v
@@ -222,8 +235,10 @@ def star(ctx: Context, own: tuple[Pattern, ...], bound: Relation | None) -> Rela
                 df = df.where(equal(Val(*out[p.v.name]), Val(col, attr.kind)))
             else:
                 out[p.v.name] = col, attr.kind
+                if view.identifies(attr):
+                    names[p.v.name] = e.name
     ctx.steps.append({"strategy": "star", "on": [e.name], "attributes": [a.ident for a in attrs]})
-    return Relation(df.select(*[c.alias(n) for n, (c, _) in out.items()]), {n: k for n, (_, k) in out.items()}, key=frozenset([e.name]))
+    return Relation(df.select(*[c.alias(n) for n, (c, _) in out.items()]), {n: k for n, (_, k) in out.items()}, key=frozenset([e.name]), names=names)
 
 
 # clauses

@@ -80,6 +80,10 @@ class View:
         """(e, one column for each attribute by ident, null where absent), or None if the layout can't."""
         return None
 
+    def identifies(self, attr: Attribute) -> bool:
+        """Whether an entity's id follows from this attribute's value."""
+        return False
+
     def entid(self, ref) -> int | None:
         """Entity id of an id, an ident, or a lookup reference."""
         if isinstance(ref, bool):
@@ -281,6 +285,9 @@ class Tables(View):
         key = self.keys[table]
         return self._entity(table, self.frames[table][key] if isinstance(key, str) else key)
 
+    def identifies(self, attr: Attribute) -> bool:
+        return attr.unique == "identity" and attr.kind == "long"
+
     def entid(self, ref) -> int | None:
         """A row's id follows from its key: no read, and a key without a row names an entity without facts."""
         if isinstance(ref, (list, tuple)) and len(ref) == 2:

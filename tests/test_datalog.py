@@ -2,10 +2,12 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from factweave import edn
 from factweave.plans.compiler import run_query
 from factweave.plans.query import BudgetError, QueryError, parse_query
+from factweave.sources.views import Tables
 from factweave.transactions import Connection, TxError
 from tests import naive
 from tests.harbour import CLOCK, CRANES, PORTS, SCHEMA, attribute, entities
@@ -261,6 +263,28 @@ def test_builder_lists_under_the_budget(coast, monkeypatch):
     assert as_set(r["title"] for r in either.run(coast[0].db())) == as_set([PORTS["VEL"]["title"], PORTS["LOM"]["title"]])
 
 
+def test_products_of_keyed_rows(spark):
+    """Keys stand for their rows, so pairs of keys aren't made distinct, and tasks share the pairs; other values are."""
+    rows = [(k, k * 5 % 7, "ab"[k % 2]) for k in range(40)]
+    db = Tables(spark, {"part": spark.createDataFrame(rows, "key long, size long, brand string").coalesce(1)}, {"part": "key"})
+    ask = lambda find, where, **more: run_query(db, f"[:find {find} :where {where}]", **more)
+    pairs = "[?x :part/size ?s] [?x :part/key ?a] [?y :part/size ?z] [?y :part/key ?b] [(< ?s ?z)]"
+    found = ask("?a ?b", pairs, budget=None)
+    plan = found.explain()["plan"]
+    assert "Aggregate" not in plan and "Broadcast" not in plan
+    assert found.df.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(found.rows()) == sorted([a, b] for a, s, _ in rows for b, z, _ in rows if s < z)
+    assert sorted(ask("?a ?z", pairs, budget=None).rows()) == sorted([a, z] for a, s, _ in rows for z in range(7) if s < z)
+    assert sorted(ask("?s ?z", pairs).rows()) == [[s, z] for s in range(7) for z in range(s + 1, 7)]
+    assert ask("?a (as (count ?z) ?n)", pairs + " [(= ?a 1)]").rows() == [[1, 1]]
+    # an empty key tells no row
+    path = '[?x :part/brand "a"] [?x :part/key ?k]'
+    optional = f"[?x :part/size ?s] (or-join [?x ?k] (and {path}) (and (not {path}) [(ground [nil]) [?k ...]]))"
+    assert as_set(ask("?k", optional).rows()) == as_set([[k] for k in [*range(0, 40, 2), None]]) and len(ask("?k", optional).rows()) == 21
+    # a clause of constants restricts, whatever the budget
+    assert len(ask("?a", "[?x :part/key ?a] [[:part/key 3] :part/size 1]", budget=1).rows()) == 40
+
+
 def test_random_queries_against_nested_loops(spark):
     """Joins, not, or, comparisons over random facts: the compiler and the naive evaluator agree."""
     rng = random.Random(77)
