@@ -12,6 +12,7 @@ hold them are sets already and aren't made distinct, which would be a shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -102,9 +103,10 @@ def join(ctx: Context, a: Relation | None, b: Relation, how: str = "inner") -> R
         if cells > ctx.budget:
             raise BudgetError(f"a product of {cells} cells is over the budget of {ctx.budget}")
     elif product and how == "inner":
-        # its work is its pairs, not its bytes: by bytes, files of a few MB would be a task or two
-        a = replace(a, df=a.df.repartition(max(int(ctx.spark.conf.get("spark.sql.shuffle.partitions")), ctx.spark.sparkContext.defaultParallelism)))
-        right = right.hint("rebalance").hint("shuffle_replicate_nl")
+        # its work is its pairs, not its bytes (files of a few MB would be a task or two): a square of tasks
+        side = math.ceil(max(int(ctx.spark.conf.get("spark.sql.shuffle.partitions")), ctx.spark.sparkContext.defaultParallelism) ** 0.5)
+        a = replace(a, df=a.df.repartition(side))
+        right = right.repartition(side).hint("shuffle_replicate_nl")
     joined = a.df.join(right, reduce(lambda p, q: p & q, conds), how) if conds else (a.df.crossJoin(right) if how == "inner" else a.df.join(right, F.lit(True), how))
     new = [n for n in b.kinds if n not in a.kinds]
     df = joined.select(*[a.df[f"`{n}`"] for n in a.kinds], *[right[f"`__r_{n}`"].alias(n) for n in new])
